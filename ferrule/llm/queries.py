@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ferrule.llm.common import read_table
 from ferrule.llm.exact_dedup import exact_groups
+from ferrule.llm.flac import media_column, media_facts
+from ferrule.llm.pii import find_pii
 from ferrule.llm.sharding import extendible_shards
+from ferrule.llm.simhash import near_groups
+from ferrule.llm.url_filter import judge_urls
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 1 << 20
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read_table(spark, sf_dir, "documents")).drop("fp")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(read_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -20,7 +32,15 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_exact_dedup)}
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
+def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_facts(media_column(read_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_sharding, op4_exact_dedup, op5_pii, op10_flac)}
 
 ORACLE_SQL = {
     "op3_sharding": f"""

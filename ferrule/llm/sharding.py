@@ -42,18 +42,19 @@ def extendible_shards(docs: DataFrame, limit_bytes: int, text: str = "text", key
     found, open_rows, low = [], rows, 0
     step = max(ROUND_BITS, math.ceil(math.log2(max(1, total / limit_bytes))) + 3)
     while low < HASH_BITS:
-        high = min(HASH_BITS, low + step)
+        high, top = min(HASH_BITS, low + step), low + (low > 0)
         leaf = lambda bits: F.shiftrightunsigned("h", HASH_BITS - bits)
         leaves = cut(open_rows.groupBy(leaf(high).alias("leaf")).agg(F.sum("n_bytes").alias("n_bytes")))
-        level = F.explode(F.sequence(F.lit(low if low == 0 else low + 1), F.lit(high)))
+        level = F.explode(F.sequence(F.lit(top), F.lit(high)))
         tree = leaves.select("n_bytes", level.alias("depth"), "leaf").withColumn("prefix", F.expr(f"shiftrightunsigned(leaf, {high} - depth)"))
         sums = tree.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("shard_bytes"))
         fits = sums.where(F.col("shard_bytes") <= limit_bytes)
-        first = (
-            tree.select("leaf", "depth", "prefix").join(fits, ["depth", "prefix"])
-            .groupBy("leaf").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("shard"))
-        )
-        first = cut(leaves.select("leaf").join(first, "leaf", "left"))
+        halves = sums.where((F.col("shard_bytes") > limit_bytes) & (F.col("depth") < high))
+        halves = halves.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+        shards = fits.where(F.col("depth") == top).unionByName(fits.join(halves, ["depth", "prefix"]))
+        span = F.expr(f"sequence(shiftleft(prefix, {high} - depth), shiftleft(prefix + 1, {high} - depth) - 1)")
+        covered = shards.select(F.explode(span).alias("leaf"), F.struct("depth", "prefix", "shard_bytes").alias("shard"))
+        first = cut(leaves.select("leaf").join(covered, "leaf", "left"))
         placed = open_rows.withColumn("leaf", leaf(high)).join(first, "leaf")
         found.append(placed.where("shard is not null").select("doc_id", "n_bytes", "shard.*", F.lit(0).alias("part")))
         if not first.where("shard is null").limit(1).count():
