@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ferrule.llm.byte_bpe import token_digests
 from ferrule.llm.common import read_table
 from ferrule.llm.exact_dedup import exact_groups
 from ferrule.llm.flac import media_column, media_facts
+from ferrule.llm.packing import pack_documents
 from ferrule.llm.pii import find_pii
+from ferrule.llm.quality import score_quality
+from ferrule.llm.secret_scan import find_secrets
 from ferrule.llm.sharding import extendible_shards
 from ferrule.llm.simhash import near_groups
 from ferrule.llm.url_filter import judge_urls
@@ -36,11 +41,35 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source of a document is its owner; each language of a source stands for a repository."""
+    docs = read_table(spark, sf_dir, "documents")
+    return find_secrets(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_facts(media_column(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_sharding, op4_exact_dedup, op5_pii, op10_flac)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_simhash, op3_sharding, op4_exact_dedup, op5_pii,
+        op6_packing, op7_quality, op8_secret_scan, op9_byte_bpe, op10_flac,
+    )
+}
 
 ORACLE_SQL = {
     "op3_sharding": f"""
