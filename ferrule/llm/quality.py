@@ -105,11 +105,10 @@ def contexts(texts: list[str]) -> np.ndarray:
         word, shape, first = tokens(chunk)
         if not len(word):
             continue
-        text = np.zeros(len(word), np.int32)
-        np.add.at(text, first[(first > 0) & (first < len(word))], 1)
-        same = np.diff(text) == 0 if len(text) > 1 else np.zeros(0, bool)
+        same = np.ones(len(word), bool)  # as the text of the token before
+        same[first[first < len(word)]] = False
         shape = shape + WORDS
-        left = np.flatnonzero(same[: len(word) - 1])
+        left = np.flatnonzero(same[1:])
         for of in (word, shape):
             for target, near in ((of[left], of[left + 1]), (of[left + 1], of[left]), (of, shape)):
                 for e in range(ENTRIES):
@@ -213,8 +212,9 @@ class Network:
                     setattr(self, n, (getattr(self, n) - RATE * (1 - epoch / EPOCHS) * change).astype(np.float32))
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip(self._logits(self._scaled(x)).astype(float) / self.temperature, -30, 30)
-        return 1 / (1 + np.exp(-z))
+        """Probabilities, rounded so that a text scores alike among whatever others."""
+        z = np.clip(self._logits(self._scaled(x).astype(float)) / self.temperature, -30, 30)
+        return np.round(1 / (1 + np.exp(-z)), 9)
 
 
 def pooled(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

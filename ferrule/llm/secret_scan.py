@@ -57,11 +57,11 @@ def propose(docs: DataFrame, text: str = "text") -> DataFrame:
         none = F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint>>")
         base.append(F.when(cheap[kind], spans).otherwise(none) if kind in cheap else spans)
     rows = docs.withColumn("_base", F.array_sort(F.concat(*base)))
+    judged = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.sha2(m["match"], 256).alias("hash"), _live(m["match"]).alias("live"))
     more = []
     for kind, pattern in PROPOSED.items():
-        one = lambda m, kind=kind: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.sha2(m["match"], 256).alias("hash"), _live(m["match"]).alias("live"))
         none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,hash:string,live:boolean>>")
-        spans = F.transform(located(whole, pattern), one)
+        spans = F.transform(located(whole, pattern), judged(kind))
         more.append(F.when(cheap[kind], spans).otherwise(none) if kind in cheap else spans)
     free = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     return rows.withColumn("_more", F.concat(*more)).withColumn("_more", F.filter("_more", free))
