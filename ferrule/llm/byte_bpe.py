@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from functools import cache
 
 import numpy as np
@@ -19,6 +20,8 @@ KEPT_WORDS = 600_000
 ROWS = 1 << 15
 #: The rank of a pair that no merge joins.
 NEVER = np.int32(1 << 30)
+#: White space that isn't a single character between others.
+RUNS_OF_SPACE = re.compile(r"\s\s|\A\s|\s\Z").search
 
 
 class PairTable:
@@ -77,6 +80,7 @@ class ByteBpe:
         self.bytes_of = [b""] * (max(ids.values()) + 1)
         for t, r in ids.items():
             self.bytes_of[r] = t
+        self.heads: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def merge_matrix(self, words: list[bytes], width: int) -> list[np.ndarray]:
@@ -154,38 +158,46 @@ class ByteBpe:
             out[i] = self.merge_long(words[i]).tobytes()
         return out
 
-    def split(self, text: str) -> list[str]:
-        """The text in parts between which the pattern never matches: before a space with other than white space on both sides."""
-        head, *rest = text.split(" ")
-        parts = [head, *(" " + w for w in rest)] if head or not rest else [" " + w for w in rest]
-        if not head and rest and not rest[0][:1].strip():
-            return [text]
-        odd = [i for i, p in enumerate(parts) if not p[1:] or p[1].isspace() or p[-1].isspace()]
-        if not odd:
-            return parts
-        out, bad, i = [], set(odd), 0
-        while i < len(parts):
-            j = i + 1
-            while j < len(parts) and (j in bad or j - 1 in bad):
-                j += 1
-            out.append(parts[i] if j == i + 1 else "".join(parts[i:j]))
-            i = j
+    @staticmethod
+    def joined(parts: list[str]) -> list[str]:
+        """What stood between spaces, with those spaces again, in parts between which the pattern never matches: before a space that has
+        other than white space on both sides."""
+        bad = [not p or p[0].isspace() or p[-1].isspace() for p in parts]
+        out = [parts[0]]
+        for i in range(1, len(parts)):
+            if bad[i] or bad[i - 1]:
+                out[-1] += " " + parts[i]
+            else:
+                out.append(" " + parts[i])
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers. Distinct parts are encoded once while they are kept."""
-        split = [self.split(t) for t in texts]
-        unknown = {p for ps in split for p in ps} - self.words.keys()
-        if len(self.words) + len(unknown) > KEPT_WORDS:
-            self.words, unknown = {}, {p for ps in split for p in ps}
-        if unknown:
-            found = {p: self.find(p) for p in unknown}
-            distinct = list({w for ws in found.values() for w in ws})
+        """The ids of each text as little-endian unsigned 32-bit integers. Distinct words are encoded once while they are kept:
+        those after a single space by what follows it, the first word of a text and stretches of more white space as they are."""
+        heads: list[list[str]] = []
+        words: list[list[str]] = []
+        for t in texts:
+            parts = t.split(" ")
+            if RUNS_OF_SPACE(t):
+                heads.append(self.joined(parts))
+                words.append([])
+            else:
+                heads.append(parts[:1])
+                words.append(parts[1:])
+        new_heads, new_words = set().union(*heads).difference(self.heads), set().union(*words).difference(self.words)
+        if len(self.words) + len(self.heads) + len(new_words) + len(new_heads) > KEPT_WORDS:
+            self.heads, self.words = {}, {}
+            new_heads, new_words = set().union(*heads), set().union(*words)
+        if new_heads or new_words:
+            order = [*new_heads, *new_words]
+            found = [self.find(p) for p in new_heads] + [self.find(" " + p) for p in new_words]
+            distinct = list(set().union(*found))
             ids = dict(zip(distinct, self.encode_words([w.encode() for w in distinct])))
-            for p, ws in found.items():
-                self.words[p] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
-        known = self.words
-        return [b"".join([known[p] for p in ps]) for ps in split]
+            packed = [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in found]
+            self.heads.update(zip(order[: len(new_heads)], packed))
+            self.words.update(zip(order[len(new_heads) :], packed[len(new_heads) :]))
+        first, then = self.heads, self.words
+        return [b"".join([first[p] for p in h] + [then[p] for p in w]) for h, w in zip(heads, words)]
 
     def decode(self, ids: bytes) -> bytes:
         of = self.bytes_of
