@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: The ranks, the widths of matrices, and words a worker keeps. Longer words are merged one by one.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
 #: Words in a matrix.
 ROWS = 1 << 15
 #: The rank of a pair that no merge joins.
@@ -221,15 +221,14 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, text: str =
 
         bpe = byte_bpe(vocabulary or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
         for batch in batches:
-            texts, at, out = [t or "" for t in batch["text"]], 0, []
+            texts, at = [t or "" for t in batch["text"]], 0
             while at < len(texts):
                 upto, size = at, 0
                 while upto < len(texts) and (size < 1 << 20 or upto == at):
                     size += len(texts[upto])
                     upto += 1
-                out += bpe.encode(texts[at:upto])
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at:upto], "ids": bpe.encode(texts[at:upto])})
                 at = upto
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": out})
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInPandas(run, "doc_id long, ids binary")
@@ -243,7 +242,9 @@ def decode_documents(encoded: DataFrame, vocabulary: str | None = None) -> DataF
 
         bpe = byte_bpe(vocabulary or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
         for batch in batches:
-            yield batch.assign(decoded=[bpe.decode(x) for x in batch["ids"]])
+            for at in range(0, len(batch), 256):
+                some = batch.iloc[at : at + 256]
+                yield some.assign(decoded=[bpe.decode(x) for x in some["ids"]])
 
     return encoded.mapInPandas(run, "doc_id long, ids binary, decoded binary")
 
