@@ -1,4 +1,6 @@
 """Every query by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from ferrule.plans import dossiers, signal_queries, table_queries, text_queries  # noqa: F401  they register themselves
+from ferrule.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
