@@ -15,7 +15,7 @@ BLOCK, ORDER, PRECISION, SHIFT, RATE = 4096, 4, 12, 9, 8000
 #: Coefficients of the format's fixed predictors by order.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 #: Payload bytes that are coded together.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 class Damaged(ValueError):
@@ -357,6 +357,7 @@ def features(payload: bytes, media: bytes) -> str:
 
 
 def _chunks(payloads):
+    """Lists of consecutive payloads of CHUNK_BYTES together, or a little more."""
     chunk, size = [], 0
     for p in payloads:
         chunk.append(p)
@@ -379,9 +380,11 @@ def media_column(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
         import pandas as pd
 
         for batch in batches:
-            both = [payload_of(t) for t in batch["text"]]
-            media = [m for chunk in _chunks([p for p, _ in both]) for m in encode(chunk)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [n for _, n in both], "media": media})
+            at = 0
+            for chunk in _chunks(payload_of(t)[0] for t in batch["text"]):
+                some = batch.iloc[at : at + len(chunk)]
+                at += len(chunk)
+                yield pd.DataFrame({"doc_id": some["doc_id"], "n_bytes": [payload_of(t)[1] for t in some["text"]], "media": encode(chunk)})
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_bytes long, media binary")
@@ -395,15 +398,17 @@ def media_facts(media: DataFrame) -> DataFrame:
         import pandas as pd
 
         for batch in batches:
-            stored = batch["media"].tolist()
-            read = [p for chunk in _chunks(stored) for p in decode(chunk)]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"],
-                "payload_bytes": [len(p) for p in read], "payload_sha256": [hashlib.sha256(p).hexdigest() for p in read],
-                "tail_crc32": [zlib.crc32(p[-64:]) for p in read],
-                "media_bytes": [len(m) for m in stored], "media_sha256": [hashlib.sha256(m).hexdigest() for m in stored],
-                "feature": [features(p, m) for p, m in zip(read, stored)],
-            })
+            at = 0
+            for stored in _chunks(batch["media"]):
+                read, some = decode(stored), batch.iloc[at : at + len(stored)]
+                at += len(stored)
+                yield pd.DataFrame({
+                    "doc_id": some["doc_id"], "n_bytes": some["n_bytes"],
+                    "payload_bytes": [len(p) for p in read], "payload_sha256": [hashlib.sha256(p).hexdigest() for p in read],
+                    "tail_crc32": [zlib.crc32(p[-64:]) for p in read],
+                    "media_bytes": [len(m) for m in stored], "media_sha256": [hashlib.sha256(m).hexdigest() for m in stored],
+                    "feature": [features(p, m) for p, m in zip(read, stored)],
+                })
 
     return media.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
