@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.operators import evidence as ev
-from ferrule.operators import quality, score
+from ferrule.operators import quality, score, synthesis
 from ferrule.plans.inputs import AS_OF, EVIDENCE_SQL, LOOKBACK, as_of, evidence, table
 from ferrule.plans.registry import query
 
@@ -59,8 +59,12 @@ def dossier_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("coverage", F.round("coverage", 4))
 
 
-@query(f"""{SCORED_SQL} select request_id, ordinal, family, round(raw, 6) as raw, round(family_points, 6) as family_points,
-    round(contribution, 6) as contribution from scored""")
+def _six(name: str) -> str:
+    """Six places in SQL, where what rounds to zero has no sign, as in Spark."""
+    return f"case when round({name}, 6) = 0 then 0::double else round({name}, 6) end as {name}"
+
+
+@query(f"{SCORED_SQL} select request_id, ordinal, family, {_six('raw')}, {_six('family_points')}, {_six('contribution')} from scored")
 def family_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [F.round(c, 6).alias(c) for c in ("raw", "family_points", "contribution")]
     return scored(spark, sf_dir).select("request_id", "ordinal", "family", *columns)
@@ -232,3 +236,60 @@ def contribution_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("request_id").orderBy("ts", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
     rows = scored(spark, sf_dir).where("family = 'insider_trading'")
     return rows.select("request_id", "family", "ordinal", F.round(F.sum("contribution").over(order), 5).alias("running"))
+
+
+@query(f"""{SCORED_SQL}, {ROUNDED_SQL}, {FAMILY_SQL}, {_swap_sql("family_rank_kept", "request_id", ev.PER_DOSSIER, "family_rank, ordinal", "dossier_rank")}, told as (
+        select request_id, ordinal, family, direction, ts, row_number() over (partition by request_id order by abs(contribution) desc, ts desc, ordinal) as place,
+            case family when 'filings_news' then 'Filings and news' when 'insider_trading' then 'Insider activity' when 'options_flow' then 'Options activity'
+                when 'technical' then 'Technical transitions' else 'Social attention' end as label,
+            label || ' changed during the requested window.' as text,
+            case family when 'filings_news' then 'A later SEC amendment or issuer-primary disclosure changes the filed facts.'
+                when 'options_flow' then 'Options activity normalizes during the requested horizon.'
+                when 'technical' then 'The observed technical transition reverses on daily data.'
+                when 'social' then 'Attention or sentiment normalizes during the next comparison window.'
+                else 'A later primary-source record changes the normalized facts.' end as invalid,
+            case when family = 'filings_news' then 'Open SEC accession ' || ordinal || ' and review the filed item text and exhibits.' end as checked
+        from dossier_rank_kept
+    ), leader as (
+        select request_id, arg_min(direction, place) as leader from told where direction <> 'neutral' group by 1
+    ), opposed as (
+        select request_id, arg_min(text, place) as other_text, arg_min(direction, place) as other from told join leader using (request_id)
+        where direction <> 'neutral' and direction <> leader group by 1
+    ), grouped as (
+        select request_id, arg_min(label, place) as label, arg_min(text, place) as text, arg_min(invalid, place) as invalid, list(text order by place) as texts,
+            arg_max(label, (ts, -ordinal)) as new_label, arg_max(text, (ts, -ordinal)) as new_text, max(ts) as new_ts, max((family <> 'filings_news')::int) as beyond,
+            coalesce(list(checked order by ts desc, ordinal) filter (checked is not null), []) as singles
+        from told group by 1
+    ), requests as (
+        select request_id, ['research', 'alert_triage', 'thesis_review'][(request_id % 3 + 1)::int] as mode,
+            list_sort(list_filter(['filings_news', 'insider_trading', 'options_flow', 'technical', 'social'], lambda f: not list_contains(list(family), f))) as missing
+        from (select * from evidence where ts >= timestamp '{AS_OF}' - interval {LOOKBACK} days) group by 1
+    ), ready as (
+        select *, array_to_string(missing, ', ') as lacking from requests join grouped using (request_id) left join opposed using (request_id)
+    )
+    select request_id,
+        case mode when 'alert_triage' then new_label || ': ' || new_text || ' Observed ' || strftime(new_ts, '%Y-%m-%dT%H:%M:%S') || case when strftime(new_ts, '%f') = '000000' then '' else '.' || strftime(new_ts, '%f') end || '+00:00.'
+            when 'thesis_review' then 'Thesis-review evidence — ' || label || ': ' || text else label || ': ' || text end as headline,
+        list_slice(list_concat(list_slice(list_filter(texts, lambda x, i: list_position(texts, x) = i), 1, 4),
+            case when other is not null then ['Conflicting evidence: ' || other_text] when lacking <> '' then ['Missing confirmation: ' || lacking || '.'] else [] end), 1, 5) as what_changed,
+        'The leading observation is the strongest normalized change in the current window.'
+            || coalesce(' Conflicting ' || other || ' evidence is also present: ' || other_text, '')
+            || case when lacking <> '' then ' Confidence remains constrained by missing ' || lacking || '.' else '' end as why_it_matters,
+        list_filter([invalid, 'The conflicting ' || other || ' observation becomes the better-supported primary-source account.',
+            case when lacking <> '' then 'Obtain missing confirmation from ' || lacking || '.' end,
+            case when beyond = 1 then 'A sector-wide event fully explains the ticker-specific observations.' end], lambda x: x is not null) as what_would_invalidate,
+        list_slice(list_concat(list_slice(singles, 1, 3), list_filter([
+            case when other is not null then 'Resolve conflicting evidence against the highest-tier primary source.' end,
+            'Check whether a sector-wide event explains the observation.',
+            case mode when 'thesis_review' then 'Compare the evidence with the prior thesis invalidation criteria.'
+                when 'alert_triage' then 'Confirm the newest event timestamp before escalating the alert.' end], lambda x: x is not null)), 1, 5) as next_checks
+    from ready""")
+def dossier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of each dossier, over the items that its selection keeps; risk modes take turns."""
+    kept = ev.compact_dossier(ev.compact_families(rounded(spark, sf_dir)))
+    items = kept.withColumns({"record_id": F.col("ordinal").cast("string"), "has_sources": F.lit(True)})
+    modes = F.array(F.lit("research"), F.lit("alert_triage"), F.lit("thesis_review"))
+    expected = F.array(*map(F.lit, score.EXPECTED))
+    requests = inside(spark, sf_dir).groupBy("request_id").agg(F.array_except(expected, F.collect_set("family")).alias("missing"))
+    requests = requests.withColumns({"risk_mode": F.get(modes, (F.col("request_id") % 3).cast("int")), "lookback_days": F.lit(LOOKBACK)})
+    return synthesis.summaries(items, requests)

@@ -182,3 +182,26 @@ def test_digest_ignores_order(spark):
     rows = [("g", i, f"line {i}") for i in range(20)]
     digest = lambda r: operations.order_free_digest(spark.createDataFrame(r, "g string, i long, t string"), ["g"], F.col("t"), "i").first().digest
     assert digest(rows) == digest(rows[::-1]) != digest(rows[:-1])
+
+
+def test_synthesis(spark):
+    from ferrule.operators import synthesis
+
+    columns = "request_id long, ordinal long, family string, signal string, direction string, contribution double, ts timestamp_ntz, change string, event_type string, novelty string, source_records int, corroborating int"
+    rows = [
+        (1, 0, "insider_trading", "insider_sale_cluster", "bearish", -3.0, NOW, None, "open_market_sale", None, 3, 0),
+        (1, 1, "options_flow", "x", "bullish", 2.0, NOW + timedelta(hours=1), "Time to buy calls.", None, None, 1, 1),
+        (1, 2, "social", "y", "neutral", 0.0, NOW, None, None, "correction", 1, 2),
+    ]
+    requests = spark.createDataFrame([(1, "alert_triage", 14, ["technical", "filings_news"]), (2, "research", 14, []), (3, "research", 30, [])], "request_id long, risk_mode string, lookback_days int, missing array<string>")
+    one, two, three = synthesis.summaries(spark.createDataFrame(rows, columns), requests).orderBy("request_id").collect()
+    assert one.headline == "Options activity: Time to restricted term calls. Observed 2026-07-12T17:00:00+00:00."
+    assert one.what_changed == [
+        "Multiple insiders reported open-market dispositions.", "The observation is supported by 3 source records.",
+        "Time to restricted term calls.", "The canonical event has 1 additional source record.", "Conflicting evidence: Time to restricted term calls.",
+    ]
+    assert one.why_it_matters.endswith("present: Time to restricted term calls. Confidence remains constrained by missing filings_news, technical.")
+    assert one.what_would_invalidate[0].startswith("A later Form 4 amendment") and "conflicting bullish" in one.what_would_invalidate[1] and len(one.what_would_invalidate) == 4
+    assert one.next_checks[0].startswith("Verify each Form 4") and one.next_checks[1].startswith("Compare the correction") and len(one.next_checks) == 5
+    assert two.headline == synthesis.EMPTY_HEADLINE and two.next_checks[0] == synthesis.CHECK_WIDER and len(two.next_checks) == 3
+    assert three.next_checks == [synthesis.CHECK_OPEN, synthesis.CHECK_IDENTITY]
