@@ -35,35 +35,37 @@ PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]?|x{6}|0{8
 def _live(value: Column) -> Column:
     """Whether a value looks live: lower-case or upper-case letters with digits, many distinct characters, no placeholder."""
     kinds = value.rlike("[a-z]").cast("int") + value.rlike("[A-Z]").cast("int") + value.rlike("[0-9]").cast("int")
-    distinct = F.size(F.array_distinct(F.split(F.substring(value, 1, 256), "")))
+    distinct = F.size(F.array_distinct(F.split(value, "")))
     return (kinds >= 2) & value.rlike("[0-9]") & (distinct >= 10) & ~value.rlike(PLACEHOLDER)
 
 
 def propose(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _base, spans of fixed formats by start, then kind, and _more: (kind, start, end, hash, live) of further candidates
-    that overlap none of these. Null counts as empty."""
+    """docs with _base, spans of fixed formats by start, then kind, and _more, further candidates that lie within none of these, each with
+    the hash of its value and whether that looks live. The value of an assignment is what is assigned. Null counts as empty."""
     whole = F.coalesce(F.col(text), F.lit(""))
     cheap = {
         "assign": whole.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]"), "access": whole.contains("AKIA"),
         "bearer": whole.contains("earer "), "url_password": whole.contains("://"), "signed_token": whole.contains("eyJ"), "private_key": whole.contains("PRIVATE KEY-----"),
     }
-    bare = lambda kind, n: lambda m: F.struct(m["start"].alias("start"), F.lit(n).alias("order"), F.lit(kind).alias("kind"), m["end"].alias("end"))
+    value = lambda kind, m: F.regexp_extract(m["match"], VALUE, 1) if kind == "assign" else m["match"]
+    judged = lambda kind, m: (F.sha2(value(kind, m), 256).alias("hash"), _live(value(kind, m)).alias("live"))
+    bare = lambda kind, n: lambda m: F.struct(m["start"].alias("start"), F.lit(n).alias("order"), F.lit(kind).alias("kind"), m["end"].alias("end"), *judged(kind, m))
     base = []
     for n, (kind, pattern) in enumerate(BASE.items()):
         met = located(whole, pattern)
         if kind == "assign":
             met = F.filter(met, lambda m: F.length(F.regexp_extract(m["match"], VALUE, 1)) >= LEAST_VALUE)
         spans = F.transform(met, bare(kind, n))
-        none = F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint>>")
+        none = F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint,hash:string,live:boolean>>")
         base.append(F.when(cheap[kind], spans).otherwise(none) if kind in cheap else spans)
     rows = docs.withColumn("_base", F.array_sort(F.concat(*base)))
-    judged = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.sha2(m["match"], 256).alias("hash"), _live(m["match"]).alias("live"))
+    further = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), *judged(kind, m))
     more = []
     for kind, pattern in PROPOSED.items():
         none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,hash:string,live:boolean>>")
-        spans = F.transform(located(whole, pattern), judged(kind))
+        spans = F.transform(located(whole, pattern), further(kind))
         more.append(F.when(cheap[kind], spans).otherwise(none) if kind in cheap else spans)
-    free = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    free = lambda c: ~F.exists("_base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
     return rows.withColumn("_more", F.concat(*more)).withColumn("_more", F.filter("_more", free))
 
 
@@ -82,11 +84,12 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, repository: Column, owner: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_own, n_copied.
+    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_own, n_copied, verdicts.
 
     Spans are kind:start:end in code points, end exclusive, comma-joined; those of the fixed formats come by start, then
-    kind, and base_sha256 and the counts are of these alone. Then come further candidates that look live and are one
-    owner's own, likewise ordered; n_own counts them, n_copied the candidates that are widely copied examples. Null texts
+    kind, and base_sha256 and n_assign to n_hex are of these alone. Then come further candidates that look live and are one
+    owner's own, likewise ordered. Ownership is judged for both: n_own counts those that look live and are one owner's own,
+    n_copied those that are widely copied examples, and verdicts has kind:start:end:verdict of each. Null texts
     count as empty; null repositories and owners as one of each. Repeated rows come back repeated; an empty
     table gives none. Only the columns named are read.
     """
@@ -95,11 +98,16 @@ def find_secrets(docs: DataFrame, repository: Column, owner: Column, text: str =
         F.coalesce(owner, F.lit("")).alias("owner"), F.monotonically_increasing_id().alias("row"),
     )
     found = cut(propose(rows).drop("text"))
-    each = found.where(F.size("_more") > 0).select("row", "repository", "owner", F.explode("_more").alias("c")).select("row", "repository", "owner", "c.*")
+    fixed = F.transform("_base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), b["hash"].alias("hash"), b["live"].alias("live"), F.lit(True).alias("fixed")))
+    more = F.transform("_more", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["hash"].alias("hash"), c["live"].alias("live"), F.lit(False).alias("fixed")))
+    each = found.select("row", "repository", "owner", F.explode(F.concat(fixed, more)).alias("c")).select("row", "repository", "owner", "c.*")
     judged = join_groups(each, cut(ownership(each)), "hash", "rows")
     span = F.struct("start", "kind", "end")
     taken = F.col("live") & (F.col("verdict") == "own")
-    extra = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.when(taken, span))).alias("extra"), F.count_if(F.col("verdict") == "copied").alias("n_copied"))
+    extra = judged.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(taken & ~F.col("fixed"), span))).alias("extra"), F.count_if(taken).alias("n_own"),
+        F.count_if(F.col("verdict") == "copied").alias("n_copied"), F.array_sort(F.collect_list(F.struct("start", "kind", "end", "verdict"))).alias("verdicts"),
+    )
     kinds = "array<struct<start:bigint,kind:string,end:bigint>>"
     out = found.join(extra, "row", "left").withColumn("extra", F.coalesce("extra", F.array().cast(kinds)))
     count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -107,5 +115,6 @@ def find_secrets(docs: DataFrame, repository: Column, owner: Column, text: str =
     return out.select(
         "doc_id", *(count(k) for k in BASE), F.sha2(base, 256).alias("base_sha256"),
         F.array_join(F.filter(F.array(base, more), lambda x: x != ""), ",").alias("spans"),
-        F.size("extra").cast("long").alias("n_own"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("n_own", F.lit(0)).alias("n_own"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce(F.array_join(F.transform("verdicts", lambda v: F.concat_ws(":", v["kind"], v["start"].cast("string"), v["end"].cast("string"), v["verdict"])), ","), F.lit("")).alias("verdicts"),
     )
