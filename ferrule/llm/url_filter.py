@@ -29,8 +29,10 @@ RULES = (
     Rule("example.com", "/de/", "block"),
     Rule("org", "/fr/", "allow"),
 )
-#: PageRank's damping, its rounds, and the share of a host's trust and distrust from which it is blocked.
+#: PageRank's damping, the rounds between two tests of convergence, and the share of a host's trust and distrust from which it is blocked.
 DAMPING, ROUNDS, BLOCK_FROM = 0.85, 10, 0.5
+#: Ranks have converged when none grew by a larger share of itself in ROUNDS rounds.
+TOLERANCE = 1e-6
 
 
 def host_of(url: Column) -> Column:
@@ -53,13 +55,13 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight): a host's absolute links to other hosts, counted, and a link of weight 1 either way between a host
+    """(src, dst, weight): a host's absolute and protocol-relative links to other hosts, counted, and a link of weight 1 either way between a host
     and its parent domain, through which subdomains of one owner are joined. pages: columns host and html."""
-    target = r"""(?i)(?:href|src)\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^\s"'<>]+)"""
+    target = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"'<>]+)"""
     linked = (
-        pages.where(F.col("html").contains("://"))
+        pages.where(F.col("html").contains("//"))
         .select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(target), F.lit(1))).alias("to"))
-        .select("src", host_of(F.col("to")).alias("dst"))
+        .select("src", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).otherwise(F.col("to"))).alias("dst"))
         .where("src <> dst and src <> '' and dst <> ''")
         .groupBy("src", "dst")
         .agg(F.count("*").cast("double").alias("weight"))
@@ -73,22 +75,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(tied).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank): PageRank that restarts at the seeds, columns host and mass, in proportion to mass.
+def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank): PageRank that restarts at the seeds, columns host and mass, by their mass.
 
     Rank of a host without outgoing edges is dropped rather than spread, so no round needs a global
     sum. Shares are summed per target before the shuffle, so a host with many incoming edges is no hot key.
+    Ranks begin with the restarts alone, so they only grow, each towards its limit. Rounds go on until none
+    grows by more than tolerance of itself in this many rounds, and a host first reached counts as grown:
+    every host that a seed reaches has a rank, however far it is.
     """
-    total = seeds.agg(F.sum("mass").alias("n")).first()["n"] or 0.0
-    start = cut(seeds.where("mass > 0").select("host", (F.col("mass") / F.lit(total or 1.0)).alias("mass")))
+    start = cut(seeds.where("mass > 0"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("all"))
     flow = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")))
-    rank = start.select("host", F.col("mass").alias("rank"))
-    for _ in range(rounds):
-        moved = flow.join(rank, flow["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        again = start.select("host", (F.col("mass") * (1 - damping)).alias("rank"))
-        rank = cut(moved.unionByName(again).groupBy("host").agg(F.sum("rank").alias("rank")))
-    return rank
+    again = start.select("host", (F.col("mass") * (1 - damping)).alias("rank"))
+    rank = again
+    while True:
+        last = rank.select("host", F.col("rank").alias("last"))
+        for _ in range(rounds):
+            moved = flow.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+            rank = moved.unionByName(again).groupBy("host").agg(F.sum("rank").alias("rank"))
+        rank = cut(rank)
+        grown = F.when(F.col("rank") > 0, (F.col("rank") - F.coalesce("last", F.lit(0.0))) / F.col("rank"))
+        if (rank.join(last, "host", "left").agg(F.max(grown).alias("most")).first()["most"] or 0.0) <= tolerance:
+            return rank
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -110,8 +119,15 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "pa
     seeds = cut(seeds)
     edges = cut(host_edges(pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))))
     reverse = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = personalised_rank(edges, seeds.select("host", F.col("trusted").alias("mass")))
-    distrust = personalised_rank(reverse, seeds.select("host", F.col("blocked").alias("mass")))
+    # Trust runs over hosts marked +, distrust over those marked -, so that both share the rounds.
+    marked = lambda mark, *names: [F.concat(F.lit(mark), n).alias(n) for n in names]
+    all_mass = seeds.agg(F.sum("trusted").alias("trusted"), F.sum("blocked").alias("blocked")).first()
+    mass = lambda name: (F.col(name) / F.lit(all_mass[name] or 1.0)).alias("mass")
+    ranks = personalised_rank(
+        edges.select(*marked("+", "src", "dst"), "weight").unionByName(reverse.select(*marked("-", "src", "dst"), "weight")),
+        seeds.select(*marked("+", "host"), mass("trusted")).unionByName(seeds.select(*marked("-", "host"), mass("blocked"))),
+    )
+    trust, distrust = (ranks.where(F.col("host").startswith(m)).select(F.expr("substr(host, 2)").alias("host"), "rank") for m in "+-")
     both = seeds.select("host", "pages")
     both = both.join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
     both = both.select("host", "pages", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
