@@ -9,7 +9,7 @@ from ferrule.functions.keys import hash_key
 from ferrule.functions.text import has_phrase, normalize_entity
 from ferrule.functions.urls import host, host_suffixes
 
-#: Most words of an alias; texts give a row for each run of words up to this.
+#: Texts give a row for each run of words up to this; a longer alias is met by its first words, then whole.
 ALIAS_WORDS = 4
 #: Bytes of a file of reviewed rules.
 MOST_RULE_BYTES = 256 * 1024
@@ -29,7 +29,7 @@ def match_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """A row for each text and rule whose alias stands in it as whole words, with the required and negative terms it holds.
 
     texts: text_id, text and others. Runs of words of each text are joined with aliases by equality, so no
-    pair of text and rule is formed but those that match. The rules are a reviewed list whose file may not exceed
+    pair of text and rule is formed but those that match, or hold the first ALIAS_WORDS words of a longer alias. The rules are a reviewed list whose file may not exceed
     MOST_RULE_BYTES, so they are broadcast; bodies are joined to the few pairs that match.
     """
     words = F.split("body", " ")
@@ -38,16 +38,38 @@ def match_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
         more = F.greatest(n - k + 1, F.lit(0))
         runs.append(F.zip_with(F.slice(runs[-1], F.lit(1), more), F.slice(words, F.lit(k), more), lambda a, w: F.concat(a, F.lit(" "), w)))
     bodies = texts.withColumn("body", normalize_entity(F.col("text"))).where("body <> ''").drop("text")
-    keyed = bodies.select("text_id", F.explode(F.array_distinct(F.concat(*runs))).alias("alias_text"))
-    named = keyed.join(F.broadcast(prepared(rules)), "alias_text")
-    matched = named.join(bodies, "text_id")
+    keyed = bodies.select("text_id", F.explode(F.array_distinct(F.concat(*runs))).alias("_head"))
+    headed = prepared(rules).withColumn("_head", F.substring_index("alias_text", " ", ALIAS_WORDS))
+    named = keyed.join(F.broadcast(headed), "_head")
+    matched = named.join(bodies, "text_id").where((F.col("_head") == F.col("alias_text")) | has_phrase(F.col("body"), F.col("alias_text"))).drop("_head")
     held = lambda c: F.filter(c, lambda t: has_phrase(F.col("body"), t))
     return matched.withColumn("required_met", held(F.col("required"))).withColumn("negative_met", held(F.col("negative")))
 
 
+def outside_validity(day: Column) -> Column:
+    return (F.col("valid_from").isNotNull() & (day < F.col("valid_from"))) | (F.col("valid_to").isNotNull() & (day > F.col("valid_to")))
+
+
+def aligned_titles(titles: DataFrame, rules: DataFrame, tickers: DataFrame) -> DataFrame:
+    """(text_id, issuer), each once, of titles (text_id, title, day) that name an issuer.
+
+    A title names it by one of its tickers (issuer, ticker) of two characters or more, or by an alias that is valid on
+    the day and none of whose negative terms stands in the title. Without a day every alias is valid.
+    """
+    texts = titles.select("text_id", F.col("title").alias("text"), "day")
+    valid = ~F.coalesce(outside_validity(F.col("day")), F.lit(False)) & (F.size("negative_met") == 0)
+    by_alias = match_rules(texts, rules).where(valid).select("text_id", "issuer")
+    none = lambda kind: F.lit(None).cast(kind)
+    named = tickers.where(F.length(normalize_entity(F.col("ticker"))) >= 2).select(
+        "issuer", F.col("ticker").alias("rule_id"), F.col("ticker").alias("alias"), none("array<string>").alias("required"),
+        none("array<string>").alias("negative"), none("string").alias("valid_from"), none("string").alias("valid_to"),
+    )
+    return by_alias.unionByName(match_rules(texts, named).select("text_id", "issuer")).distinct()
+
+
 def rule_status(day: Column) -> Column:
     """Validity first, then negative context, then required context."""
-    outside = (F.col("valid_from").isNotNull() & (day < F.col("valid_from"))) | (F.col("valid_to").isNotNull() & (day > F.col("valid_to")))
+    outside = outside_validity(day)
     lacks = (F.size("required") > 0) & (F.size("required_met") == 0)
     return F.when(outside, "outside_validity").when(F.size("negative_met") > 0, "negative_context").when(lacks, "missing_required_context").otherwise("accepted")
 
