@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.functions import text, urls
@@ -154,12 +154,12 @@ def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.classify(documents.sample_filings(table(spark, sf_dir, "documents")))
 
 
-def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is an observation of its language's issuer: its first line is the title."""
+def _observations(spark: SparkSession, sf_dir: str, title: Column) -> DataFrame:
+    """A document is an observation of its language's issuer."""
     tier = F.element_at(F.array(*map(F.lit, ("discovery", "authorized_vendor", "issuer_primary", "primary_regulator", "other"))), (F.col("doc_id") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select(
         F.col("lang").alias("issuer"), F.col("source").alias("source_id"), (F.col("doc_id") % 50).cast("string").alias("record_id"), tier.alias("tier"),
-        F.concat(F.lit("https://example.org/"), F.substring(F.md5("text"), 1, 2), F.lit("/?utm_source=x")).alias("url"), F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(80)).alias("title"),
+        F.concat(F.lit("https://example.org/"), F.substring(F.md5("text"), 1, 2), F.lit("/?utm_source=x")).alias("url"), title.alias("title"),
         (F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(hours=F.col("doc_id").cast("int") * 7)).alias("published_at"), F.col("doc_id").alias("arrival"),
     )
 
@@ -176,12 +176,14 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         'clm_' || sha256(issuer || chr(31) || event_key) as claim_id
     from linked join first using (observation_key) group by all""")
 def exact_event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.exact_events(graph.observations(_observations(spark, sf_dir)))
+    title = F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(80))
+    return graph.exact_events(graph.observations(_observations(spark, sf_dir, title)))
 
 
 @query()
 def fuzzy_event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.near_events(graph.observations(_observations(spark, sf_dir)))
+    """A title is the whole first line."""
+    return graph.near_events(graph.observations(_observations(spark, sf_dir, F.split_part("text", F.lit("\n"), F.lit(1)))))
 
 
 @query("""select conv_id, turn, (row_number() over c - 1) // 2 + 1 as page, case when row_number() over c % 2 = 0 and row_number() over c < count(*) over (partition by conv_id) then turn end as next_cursor
