@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import cut
+from ferrule.llm.common import cut, numbered
 
 #: Bits of the hash a directory can use: 15 hexadecimal digits of MD5.
 HASH_BITS = 60
@@ -95,8 +95,24 @@ def _repeated_keys(rows: DataFrame, limit_bytes: int) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write docs below path, a folder for each shard, from what extendible_shards says of them."""
-    name = F.concat_ws("-", "depth", "prefix", "part").alias("shard")
-    placed = docs.join(shards.select(F.col("doc_id").alias(key), name).distinct(), key)
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, shards: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """Write docs below path, a folder for each shard, from what extendible_shards says of them: every row to one shard.
+
+    Most keys have one shard, in which all their rows go. A key dealt to several parts is large, so there are few; its rows
+    of equal bytes are interchangeable, so these are numbered on both sides and the equal numbers meet. A null key equals itself.
+    """
+    name = F.concat_ws("-", "depth", "prefix", "part")
+    known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    alike = lambda n: F.concat_ws("/", "_key", n.cast("string")).alias("_alike")
+    placed = shards.select(known("doc_id").alias("_key"), "n_bytes", name.alias("shard"))
+    keys = cut(placed.groupBy("_key").agg(F.min("shard").alias("shard"), F.max("shard").alias("_last")))
+    rows = docs.withColumn("_key", known(key))
+    one = rows.join(keys.where("shard = _last").select("_key", "shard"), "_key").drop("_key")
+    split = F.broadcast(keys.where("shard < _last").select("_key"))
+    dealt = cut(rows.join(split, "_key").withColumn("_row", F.monotonically_increasing_id()))
+    n_bytes = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = numbered(dealt.select(alike(n_bytes), "_row"), parts, "_alike", "_row", rank="_n", by="_alike")
+    right = numbered(placed.join(split, "_key").select(alike(F.col("n_bytes")), "shard"), parts, "_alike", "shard", rank="_n", by="_alike")
+    several = dealt.join(left.join(right, ["_alike", "_n"]).select("_row", "shard"), "_row").drop("_key", "_row")
+    one.unionByName(several).repartition("shard").write.partitionBy("shard").parquet(path)
