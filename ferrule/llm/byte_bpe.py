@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.llm.common import map_frames
+
 #: The ranks, the widths of matrices, and words a worker keeps. Longer words are merged one by one.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
@@ -231,7 +233,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, text: str =
                 at = upto
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, ids binary")
+    return map_frames(rows, run, "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -246,7 +248,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str | None = None) -> DataF
                 some = batch.iloc[at : at + 256]
                 yield some.assign(decoded=[bpe.decode(x) for x in some["ids"]])
 
-    return encoded.mapInPandas(run, "doc_id long, ids binary, decoded binary")
+    return map_frames(encoded, run, "doc_id long, ids binary, decoded binary")
 
 
 def token_digests(docs: DataFrame, vocabulary: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:

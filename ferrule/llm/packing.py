@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import cut, numbered
+from ferrule.llm.common import cut, map_frames, numbered
 
 #: Tokens in a sequence, the id that ends a document, and the vocabulary.
 CAPACITY, END, VOCABULARY = 4096, 1, "word_bpe_49k.json"
@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, text: str = "text", k
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_frames(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -202,7 +202,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         where = {int(n): i for i, n in enumerate(table[:, 0])}  # the last run of a length
         first = {int(n): i for i, n in reversed(list(enumerate(table[:, 0])))}
         for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
+            length, rank = (batch[c].to_numpy("int64") for c in ("length", "rank"))
             at = np.empty(len(batch), np.int64)
             for n in np.unique(length):
                 of, low, high = length == n, first[int(n)], where[int(n)] + 1
@@ -210,7 +210,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield batch.drop(columns="rank").assign(sequence_id=table[at, 3] + rank - table[at, 1], offset=table[at, 4])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return ranked.mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    return map_frames(ranked, place, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import cut
+from ferrule.llm.common import cut, map_frames, unused
 
 #: Word buckets, shapes, dimensions of a vector, entries of an index vector, and the seed of all that is random.
 WORD_BITS, SHAPES, DIM, ENTRIES, SEED = 14, 1024, 48, 4, 11
@@ -217,25 +217,30 @@ class Network:
         return np.round(1 / (1 + np.exp(-z)), 9)
 
 
-def pooled(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, row, vector): the pooled vectors of each row's whole text as 32-bit floats."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(word_vectors(rows))
+def pooled(docs: DataFrame, table, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, row, vector): the pooled vectors of each row's whole text as 32-bit floats. table: broadcast word vectors."""
 
     def run(batches):
         for batch in batches:
-            yield batch[["doc_id", "row"]].assign(vector=[v.tobytes() for v in pool(batch["text"].tolist(), shared.value)])
+            yield batch[["doc_id", "row"]].assign(vector=[v.tobytes() for v in pool(batch["text"].tolist(), table.value)])
 
-    return cut(rows.mapInPandas(run, "doc_id long, row long, vector binary"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    return cut(map_frames(rows, run, "doc_id long, row long, vector binary"))
 
 
-def train(vectors: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Network:
-    """A network from the labels of at most MOST_LABELS rows whose crc32 of the id as text leaves other than 1 modulo 3.
+def taught(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """(doc_id, y) of the rows to learn from: at most MOST_LABELS ids of docs whose crc32 as text leaves other than 1 modulo 3.
 
     Repeated and contrary labels of an id count once, as their mean, rounded. Labels without a value or a document don't count.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.round(F.avg(label)).cast("int").alias("y"))
-    known = known.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)
+    known = known.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    known = known.join(docs.select(F.col(key).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS))
+
+
+def train(vectors: DataFrame, known: DataFrame) -> Network:
+    """A network from the vectors of the rows in known. A repeated id teaches once, by the least of its vectors."""
     rows = vectors.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("vector").alias("vector")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     x = np.array([np.frombuffer(bytes(r["vector"]), np.float32) for r in rows], np.float32).reshape(-1, 2 * DIM)
@@ -251,42 +256,32 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     never taught; false without an id. Without labels all rows get one high score. Repeated rows come back repeated;
     an empty table gives none.
     """
-    vectors = pooled(docs, text, key)
-    shared = docs.sparkSession.sparkContext.broadcast(train(vectors, labels))
+    context = docs.sparkSession.sparkContext
+    vectors = pooled(docs, context.broadcast(word_vectors(docs.select(F.col(text).alias("text")))), text, key)
+    net = context.broadcast(train(vectors, taught(docs, labels, key)))
 
     def run(batches):
         for batch in batches:
             x = np.array([np.frombuffer(v, np.float32) for v in batch["vector"]], np.float32).reshape(-1, 2 * DIM)
-            yield batch[["doc_id", "row"]].assign(score=shared.value(x))
+            yield batch[["doc_id", "row"]].assign(score=net.value(x))
 
-    scored = vectors.mapInPandas(run, "doc_id long, row long, score double")
+    scored = map_frames(vectors, run, "doc_id long, row long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that score at 0.5 or more, with all their columns."""
-    columns = docs.columns
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    vectors = word_vectors(rows)
+    """The rows of docs that score_quality predicts as 1, with all their columns whatever their names."""
     context = docs.sparkSession.sparkContext
-    table = context.broadcast(vectors)
-    wanted = labels.where(F.crc32(F.col(key).cast("string")) % 3 != 1).select(F.col(key).alias("_id")).orderBy(F.xxhash64("_id")).limit(MOST_LABELS)
-    taught = docs.join(F.broadcast(wanted.distinct()), F.col(key) == F.col("_id"), "left_semi")
-    net = context.broadcast(train(_pooled_with(taught, table, text, key), labels))
+    table = context.broadcast(word_vectors(docs.select(F.col(text).alias("text"))))
+    known = taught(docs, labels, key)
+    wanted = known.select(F.col("doc_id").alias(key))
+    net = context.broadcast(train(pooled(docs.join(F.broadcast(wanted), key, "left_semi"), table, text, key), known))
 
     @F.pandas_udf("double")
     def score(texts):
         import pandas as pd
 
-        return pd.Series(net.value(pool(texts.tolist(), table.value)))
-
-    return docs.withColumn("_score", score(F.col(text))).where("_score >= 0.5").select(*columns)
-
-
-def _pooled_with(docs: DataFrame, table, text: str, key: str) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            yield batch[["doc_id"]].assign(vector=[v.tobytes() for v in pool(batch["text"].tolist(), table.value)])
+        return pd.Series(net.value(pool(texts.tolist(), table.value)), dtype="float64")
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, vector binary")
+    return docs.withColumn(unused(docs, "score"), score(F.col(text))).where(F.col(unused(docs, "score")) >= 0.5).select(*docs.columns)
