@@ -7,13 +7,13 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import components, cut, join_groups
+from ferrule.llm.common import components, cut, drop_rows, join_groups, map_frames
 
 #: Words in a shingle, seed of XXH64, and the bits by which linked fingerprints may differ.
 WORDS, SEED, MOST_BITS = 3, 42, 2
 #: A link breaks at most MOST_BITS of the 8 bytes, so this many positional bytes are shared.
 LEAST_BYTES = 8 - MOST_BITS
-#: Postings up to this long are compared pair by pair; longer ones go through bridges.
+#: A posting of more fingerprints than this is split on one more position.
 LONG_POSTING = 64
 
 
@@ -49,46 +49,52 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             yield batch[["doc_id"]].assign(fp=[fingerprint(t) for t in batch["text"]])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    return map_frames(rows, run, "doc_id long, fp long")
+
+
+#: The bits of a fingerprint that each set of byte positions covers; a set has a bit for each position.
+COVERED = tuple(int.from_bytes(bytes(255 * (at >> i & 1) for i in range(8)), "little", signed=True) for at in range(256))
+
+
+def met(entries: DataFrame) -> DataFrame:
+    """entries, columns node, fp and shared, a set of positions, that agree in these positions' bytes with another fingerprint,
+    with their posting and its length."""
+    bits = F.get(F.array(*(F.lit(x).cast("long") for x in COVERED)), F.col("shared"))
+    entries = cut(entries.withColumn("posting", F.struct("shared", F.col("fp").bitwiseAND(bits).alias("bytes"))))
+    lengths = cut(entries.groupBy("posting").agg(F.count("*").alias("length")).where("length > 1"))
+    return cut(join_groups(entries, lengths, "posting", "length"))
+
+
+def one_more(entries: DataFrame) -> DataFrame:
+    """An entry for each position that is not yet in shared, with it."""
+    wider = F.filter(F.array(*(F.col("shared").bitwiseOR(F.lit(1 << i)) for i in range(8))), lambda m: m != F.col("shared"))
+    return entries.select("node", "fp", F.explode(wider).alias("shared"))
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b): edges that connect exactly the fingerprints linked at MOST_BITS or fewer bits.
-
-    fps: distinct fp with a node id. A linked pair shares LEAST_BYTES of 8 positional bytes. Single
-    positional bytes have 256 values, so their posting lists would grow with the corpus; postings are
-    therefore keyed by four bytes at fixed positions. The positions form four adjacent couples, of
-    which a link breaks at most two, so it shares one of the six sets of two couples. For every pair
-    met in a posting the shared positional bytes are tallied, pairs below LEAST_BYTES go, and the rest
-    are verified on all bits.
-
-    In a posting of over LONG_POSTING fingerprints no pairs are formed: each member is sent to itself
-    and to its 64 neighbours at one bit. Two fingerprints meet there exactly if they differ in at most
-    two bits, and at most 65 distinct ones meet, which are tied to the smallest of them.
+    """(a, b): all pairs of fingerprints that differ in MOST_BITS or fewer bits. fps: fp, distinct, with a node id.
+
+    The inverted index is on byte positions. A linked pair shares LEAST_BYTES of 8 positional bytes at least. Single bytes
+    have 256 values, so their postings would grow with the corpus; the index has two levels. The first posts four
+    positions at a time: the positions form four couples, of which a link breaks two at most, so the pair meets in one of
+    the six sets of two couples. The second posts, within each of these postings, every other position by itself, and there pairs
+    are formed; a linked pair meets at two of them or more. Every meeting adds the positions it shares to the pair's tally. Pairs
+    of fewer than LEAST_BYTES go, and what is left is verified on all bits.
+
+    A posting of the second level with more than LONG_POSTING fingerprints is split on yet another position before pairs are
+    formed: its linked pairs share one. Then only fingerprints meet that agree in six bytes, of which there are at most 65,536
+    whatever the corpus, and a few hundred where they are near copies of one text.
     """
-    couple = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = [
-        F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(couple[i], 16)).bitwiseOR(couple[j])
-        for n, (i, j) in enumerate(combinations(range(4), 2))
-    ]
-    postings = fps.select("node", "fp", F.explode(F.array(*keys)).alias("posting"))
-    lengths = cut(postings.groupBy("posting").agg(F.count("*").alias("length")).where("length > 1"))
-    shared = cut(postings.join(lengths, "posting"))
-
-    short = shared.where(F.col("length") <= LONG_POSTING)
-    left, right = short.select("posting", F.col("node").alias("a"), F.col("fp").alias("x")), short.select("posting", F.col("node").alias("b"), F.col("fp").alias("y"))
-    differ = F.col("x").bitwiseXOR(F.col("y"))
-    tally = sum(
-        (F.shiftrightunsigned(differ, 8 * i).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for i in range(8)
-    )
-    pairs = left.join(right, "posting").where("a < b").where((tally >= LEAST_BYTES) & (F.bit_count(differ) <= MOST_BITS))
-
-    long = shared.where(F.col("length") > LONG_POSTING).select("node", "fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
-    bridges = long.select("node", F.explode(F.transform(flips, lambda bit: F.col("fp").bitwiseXOR(bit))).alias("bridge"))
-    met = bridges.groupBy("bridge").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1)
-    tied = met.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).where("a < b")
-    return pairs.select("a", "b").unionByName(tied).distinct()
+    couples = F.array(*(F.lit(3 << 2 * i | 3 << 2 * j) for i, j in combinations(range(4), 2)))
+    first = met(fps.select("node", "fp", F.explode(couples).alias("shared")))
+    second = met(one_more(first))
+    long = met(one_more(second.where(F.col("length") > LONG_POSTING)).distinct())
+    meetings = second.where(F.col("length") <= LONG_POSTING).unionByName(long)
+    left, right = (meetings.select("posting", F.col("node").alias(n), F.col("fp").alias(f)) for n, f in (("a", "x"), ("b", "y")))
+    pairs = left.join(right, "posting").where("a < b")
+    tally = pairs.groupBy("a", "b").agg(F.bit_or("posting.shared").alias("shared"), F.first("x").alias("x"), F.first("y").alias("y"))
+    tally = tally.where(F.bit_count("shared") >= LEAST_BYTES)
+    return tally.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= MOST_BITS).select("a", "b")
 
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -96,23 +102,25 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     component_id is the smallest doc_id reachable over links of fingerprints that differ in at most
     MOST_BITS bits; equal fingerprints are linked, those of empty and null texts, zero, too. Rows without a
-    doc_id have a fingerprint and, as they can't name a component, that of their links. Other columns
-    of docs are not read. Repeated rows come back repeated; an empty table gives an empty result.
+    doc_id link others like any row; they name no component and have null where no row of theirs has an id. A doc_id
+    on rows of several texts doesn't link them. Other columns of docs are not read. Repeated rows come back
+    repeated; an empty table gives an empty result.
     """
     rows = cut(fingerprints(docs, text, key))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
-    linked = components(links(nodes.where("node is not null")))
-    named = nodes.join(linked, "node", "left").select("fp", "copies", F.coalesce("component", "node").alias("component_id"))
-    found = join_groups(rows, named, "fp", "copies")
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.col("fp")))
+    linked = components(links(nodes.select("node", "fp")))
+    named = cut(nodes.join(linked, "node", "left").select("fp", "copies", "least", F.coalesce("component", "node").alias("component")))
+    least = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")))
+    named = join_groups(named.select("fp", "copies", "component"), least, "component", "fps").select("fp", "copies", "component_id")
+    found = join_groups(rows, cut(named), "fp", "copies")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key names their group: one document, that of the smallest key, of each.
 
-    Rows without a key stay, as nothing says which of them are one document.
+    Rows without a key stay, as nothing says which of them are one document, and so do repeated rows of the key that stays.
     """
-    groups = near_groups(docs, text, key).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.where(F.col(key).isNotNull())
-    kept = rows.join(groups, rows[key] == groups["_id"], "left_semi")
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    groups = near_groups(docs, text, key)
+    gone = groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("doc_id is not null and not stays")
+    return drop_rows(docs, gone.select(F.col("doc_id").alias(key)), key).select(*(docs[c] for c in docs.columns))
