@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import cut, numbered
+from ferrule.llm.common import cut, join_groups, numbered
 
 #: Bits of the hash a directory can use: 15 hexadecimal digits of MD5.
 HASH_BITS = 60
@@ -44,7 +44,7 @@ def extendible_shards(docs: DataFrame, limit_bytes: int, text: str = "text", key
     while low < HASH_BITS:
         high, top = min(HASH_BITS, low + step), low + (low > 0)
         leaf = lambda bits: F.shiftrightunsigned("h", HASH_BITS - bits)
-        leaves = cut(open_rows.groupBy(leaf(high).alias("leaf")).agg(F.sum("n_bytes").alias("n_bytes")))
+        leaves = cut(open_rows.groupBy(leaf(high).alias("leaf")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("rows")))
         level = F.explode(F.sequence(F.lit(top), F.lit(high)))
         tree = leaves.select("n_bytes", level.alias("depth"), "leaf").withColumn("prefix", F.expr(f"shiftrightunsigned(leaf, {high} - depth)"))
         sums = tree.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("shard_bytes"))
@@ -54,8 +54,8 @@ def extendible_shards(docs: DataFrame, limit_bytes: int, text: str = "text", key
         shards = fits.where(F.col("depth") == top).unionByName(fits.join(halves, ["depth", "prefix"]))
         span = F.expr(f"sequence(shiftleft(prefix, {high} - depth), shiftleft(prefix + 1, {high} - depth) - 1)")
         covered = shards.select(F.explode(span).alias("leaf"), F.struct("depth", "prefix", "shard_bytes").alias("shard"))
-        first = cut(leaves.select("leaf").join(covered, "leaf", "left"))
-        placed = open_rows.withColumn("leaf", leaf(high)).join(first, "leaf")
+        first = cut(leaves.select("leaf", "rows").join(covered, "leaf", "left"))
+        placed = join_groups(open_rows.withColumn("leaf", leaf(high)), first, "leaf", "rows")
         found.append(placed.where("shard is not null").select("doc_id", "n_bytes", "shard.*", F.lit(0).alias("part")))
         if not first.where("shard is null").limit(1).count():
             break
