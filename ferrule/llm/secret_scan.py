@@ -26,8 +26,8 @@ PROPOSED = {
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}+-----END [A-Z ]{0,20}PRIVATE KEY-----",
     "mixed": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+",
 }
-#: A candidate in this many owners or more is a copied example; one in a single owner, in at most so many of its repositories, is its own.
-COPIED_OWNERS, OWN_REPOSITORIES = 3, 8
+#: Shares of a value's repositories that its largest owner has: from the first on it is that owner's own, below the second a copied example.
+OWN_SHARE, COPIED_SHARE = 0.75, 0.5
 #: Words of values that are placeholders.
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]?|x{6}|0{8}|123456|abcdef|\*{4}"
 
@@ -70,17 +70,20 @@ def propose(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(hash, rows, repositories, owners, verdict) of each candidate hash, counted over the whole corpus.
+    """(hash, rows, repositories, owners, largest, verdict) of each candidate hash, counted over the whole corpus.
 
-    verdict: copied if at least COPIED_OWNERS owners have it; own if one owner has it, in at most OWN_REPOSITORIES;
-    else shared. Rows are first counted by hash, repository and owner, before the shuffle, so a secret that a
-    third of all rows carry leaves a few rows.
+    largest is the most repositories with it that one owner has. verdict: own if that is at least OWN_SHARE of its repositories,
+    copied if it is less than COPIED_SHARE, so that no owner has half of them, else shared. Shares hold at any size of the
+    corpus: a live key in all hundred repositories of one owner stays its own, and an example in three owners is copied. Rows are first counted by hash,
+    repository and owner, before the shuffle, so a secret that a third of all rows carry leaves a few rows.
     """
     once = candidates.groupBy("hash", "repository", "owner").agg(F.count("*").alias("rows"))
     owners = once.groupBy("hash", "owner").agg(F.sum("rows").alias("rows"), F.count("*").alias("repositories"))
-    found = owners.groupBy("hash").agg(F.sum("rows").alias("rows"), F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
-    own = (F.col("owners") == 1) & (F.col("repositories") <= OWN_REPOSITORIES)
-    return found.withColumn("verdict", F.when(F.col("owners") >= COPIED_OWNERS, "copied").when(own, "own").otherwise("shared"))
+    found = owners.groupBy("hash").agg(
+        F.sum("rows").alias("rows"), F.sum("repositories").alias("repositories"), F.count("*").alias("owners"), F.max("repositories").alias("largest")
+    )
+    share = F.col("largest") / F.col("repositories")
+    return found.withColumn("verdict", F.when(share >= OWN_SHARE, "own").when(share < COPIED_SHARE, "copied").otherwise("shared"))
 
 
 def find_secrets(docs: DataFrame, repository: Column, owner: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -89,7 +92,7 @@ def find_secrets(docs: DataFrame, repository: Column, owner: Column, text: str =
     Spans are kind:start:end in code points, end exclusive, comma-joined; those of the fixed formats come by start, then
     kind, and base_sha256 and n_assign to n_hex are of these alone. Then come further candidates that look live and are one
     owner's own, likewise ordered. Ownership is judged for both: n_own counts those that look live and are one owner's own,
-    n_copied those that are widely copied examples, and verdicts has kind:start:end:verdict of each. Null texts
+    n_copied those that are copied examples, and verdicts has kind:start:end:verdict of each. Null texts
     count as empty; null repositories and owners as one of each. Repeated rows come back repeated; an empty
     table gives none. Only the columns named are read.
     """
