@@ -7,23 +7,32 @@ from pyspark.sql import functions as F
 
 from ferrule.functions.numbers import finite
 from ferrule.functions.urls import host, is_host_or_subdomain
+from ferrule.operators.resolve import match_rules
 from ferrule.sources.filings import instant
 
 #: Bounds: entries and bytes of a feed, length of a title and of an id, candidates and accepted titles of an issuer in one file.
 MOST_ENTRIES, MOST_FEED_BYTES, TITLE, IDENT, MOST_CANDIDATES, MOST_ACCEPTED = 50, 2_000_000, 240, 500, 200, 50
+#: Bytes of an n-gram line; minutes after which a minute's file is due and no longer looked for; files of a run; articles of a news search.
+MOST_LINE_BYTES, DELAY_MINUTES, REACH_MINUTES, MOST_FILES, MOST_ARTICLES = 64_000, 5, 20, 5, 50
 
+ATOM = "entry array<struct<title: string, link: array<struct<_href: string, _rel: string>>, id: string, updated: string, published: string, summary: string>>"
 RSS = "channel struct<item: array<struct<title: string, link: string, guid: string, pubDate: string, description: string>>>"
 TOC = "ID string, title string, url string, date string"
 POSTS = "posts array<struct<uri: string, author: struct<did: string, handle: string>, record: struct<text: string, createdAt: string>, indexedAt: string>>"
 
 
 def issuer_feed(feeds: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]:
-    """Entries of issuers' own feeds, and feeds that fail as a whole.
+    """Entries of issuers' own feeds, RSS or Atom, and feeds that fail as a whole.
 
     feeds: feed_id, official_host, xml. A feed that is too large, doesn't parse, or links to any other host gives no entries but schema_error.
     """
     ok = (F.octet_length("xml") <= MOST_FEED_BYTES) & ~F.col("xml").rlike("(?i)<!DOCTYPE|<!ENTITY")
-    parsed = feeds.withColumn("items", F.slice(F.from_xml(F.when(ok, F.col("xml")), RSS)["channel"]["item"], 1, MOST_ENTRIES))
+    xml = F.when(ok, F.col("xml"))
+    item = lambda title, link, guid, date: F.struct(title.alias("title"), link.alias("link"), guid.alias("guid"), date.alias("pubDate"))
+    rss = F.transform(F.from_xml(xml, RSS)["channel"]["item"], lambda i: item(i["title"], i["link"], i["guid"], i["pubDate"]))
+    links = lambda e: F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    atom = F.transform(F.from_xml(xml, ATOM)["entry"], lambda e: item(e["title"], F.get(links(e), 0)["_href"], e["id"], F.coalesce(e["published"], e["updated"])))
+    parsed = feeds.withColumn("items", F.slice(F.when(F.col("xml").rlike("(?s)<feed[ >]"), atom).otherwise(rss), 1, MOST_ENTRIES))
     official = lambda i: i["link"].rlike("^https://") & is_host_or_subdomain(host(i["link"]), F.col("official_host"))
     judged = parsed.withColumn("failed", F.col("items").isNull() | F.exists("items", lambda i: ~F.coalesce(official(i), F.lit(False))))
     entries = judged.where(~F.col("failed")).select("feed_id", F.posexplode("items").alias("ordinal", "i"))
@@ -33,15 +42,53 @@ def issuer_feed(feeds: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]
 
 def ngrams(spark: SparkSession, path: str) -> DataFrame:
     """(file, document, ngram, n) of tab-separated files, packed or not; lines of another form go."""
+    return ngram_lines(spark.read.text(path).select("value", F.input_file_name().alias("file")))
+
+
+def ngram_lines(lines: DataFrame) -> DataFrame:
+    """lines (value and others) as document, ngram, n: three parts, a document of digits, a whole number, at most MOST_LINE_BYTES; others go."""
     part = F.split("value", "\t")
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file")).where(F.size(part) == 3)
-    return lines.select("file", part[0].alias("document"), part[1].alias("ngram"), part[2].try_cast("bigint").alias("n")).where("n is not null")
+    rows = lines.where((F.size(part) == 3) & (F.octet_length("value") <= MOST_LINE_BYTES) & part[0].rlike("^[0-9]+$"))
+    return rows.select(*(c for c in lines.columns if c != "value"), part[0].alias("document"), part[1].alias("ngram"), part[2].try_cast("bigint").alias("n")).where("n is not null")
 
 
 def contents(spark: SparkSession, path: str) -> DataFrame:
     """(file, document, title, url, ts) of files of JSON lines; bad lines go."""
-    rows = spark.read.schema(TOC).option("mode", "DROPMALFORMED").json(path).withColumn("file", F.input_file_name())
-    return rows.where("ID is not null and url like 'https://%'").select("file", F.col("ID").alias("document"), F.left("title", F.lit(TITLE)).alias("title"), "url", instant(F.col("date")).alias("ts"))
+    return content_lines(spark.read.text(path).select("value", F.input_file_name().alias("file")))
+
+
+def content_lines(lines: DataFrame) -> DataFrame:
+    """lines (value and others) of JSON as document, title, url, ts; bad lines, and such without an id or an https URL, go."""
+    rows = lines.withColumn("j", F.from_json("value", TOC)).where("j.ID is not null and j.url like 'https://%'")
+    kept = [c for c in lines.columns if c != "value"]
+    return rows.select(*kept, F.col("j.ID").alias("document"), F.left("j.title", F.lit(TITLE)).alias("title"), "j.url", instant(F.col("j.date")).alias("ts"))
+
+
+def news_refresh(grams: DataFrame, toc: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Titles that n-gram files name an issuer for, and counters of each file and issuer.
+
+    grams: file, line, document, ngram. toc: file, line, document, title, url, ts. rules as for match_rules. In each file an issuer's
+    candidates are the MOST_CANDIDATES documents first named, in the order of lines; what later lines say of these still counts.
+    Candidates meet the file's contents by id; of each issuer the first MOST_ACCEPTED in that order are ingested, more are overflow.
+    Counters: candidates, matches, accepted, ingested, overflow.
+    """
+    ident = F.struct("file", "line", "document")
+    named = match_rules(grams.select(ident.alias("text_id"), F.col("ngram").alias("text")), rules).select("text_id.*", "issuer").distinct()
+    found = named.groupBy("file", "issuer", "document").agg(F.min("line").alias("first"), F.count("*").alias("matches"))
+    candidates, _ = capped(found, ["file", "issuer"], "first", MOST_CANDIDATES)
+    met = candidates.join(toc, ["file", "document"]).select("file", "issuer", "document", "line", "title", "url", "ts", "matches")
+    ingested, over = capped(met, ["file", "issuer"], "line", MOST_ACCEPTED)
+    counted = candidates.groupBy("file", "issuer").agg(F.count("*").alias("candidates"), F.sum("matches").alias("matches"))
+    kept = ingested.groupBy("file", "issuer").agg(F.count("*").alias("ingested"))
+    both = counted.join(kept, ["file", "issuer"], "left").join(over, ["file", "issuer"], "left").na.fill(0, ["ingested", "overflow"])
+    return ingested, both.withColumn("accepted", F.col("ingested") + F.col("overflow"))
+
+
+def minute_files(listing: DataFrame, now: Column) -> DataFrame:
+    """Files of listing (path, minute) from 20 to 5 minutes before now, the newest MOST_FILES of them, with their place, oldest first."""
+    age = F.timestamp_diff("MINUTE", F.col("minute"), now)
+    due = listing.where(age.between(DELAY_MINUTES, REACH_MINUTES)).orderBy(F.col("minute").desc(), "path").limit(MOST_FILES)
+    return due.withColumn("place", F.row_number().over(Window.orderBy("minute", "path")))
 
 
 def capped(rows: DataFrame, keys: list[str], order: str, most: int) -> tuple[DataFrame, DataFrame]:
@@ -88,3 +135,54 @@ def option_trades(payloads: DataFrame, payload: str = "payload") -> DataFrame:
         finite(filled("volume", "size")).alias("volume"), finite(filled("open_interest", "openInterest")).alias("open_interest"), filled("trade_type", "type_label").alias("trade_type"), instant(filled("timestamp", "time", "date")).alias("ts"),
     )
     return out.where("symbol = issuer and ts is not null")
+
+
+def news_search(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """(issuer, ordinal, title, url, domain, language, ts) of a news search: its first MOST_ARTICLES articles that have a title, an https URL and a time."""
+    row = "struct<url: string, title: string, seendate: string, domain: string, language: string>"
+    each = payloads.select("issuer", F.posexplode(F.slice(F.from_json(payload, f"articles array<{row}>")["articles"], 1, MOST_ARTICLES)).alias("ordinal", "a"))
+    rows = each.select("issuer", "ordinal", F.left(F.trim("a.title"), F.lit(TITLE)).alias("title"), "a.url", F.lower("a.domain").alias("domain"), "a.language", instant(F.col("a.seendate")).alias("ts"))
+    return rows.where("title <> '' and url like 'https://%' and ts is not null")
+
+
+def vendor_rows(payloads: DataFrame, *names: str, payload: str = "payload") -> DataFrame:
+    """(issuer, ordinal, r) of payloads that are a list of flat rows, or hold one under one of names; r is a map of texts."""
+    text = "map<string, string>"
+    lists = [F.from_json(payload, f"{n} array<{text}>")[n] for n in names]
+    return payloads.select("issuer", F.posexplode(F.coalesce(*lists, F.from_json(payload, f"array<{text}>"))).alias("ordinal", "r"))
+
+
+def _first(*names: str) -> Column:
+    """The first field of a vendor's row that isn't empty, zero or false."""
+    return F.coalesce(*(F.when(~F.coalesce(F.col("r")[n], F.lit("")).isin("", "0", "0.0", "false", "null"), F.col("r")[n]) for n in names))
+
+
+def vendor_news(payloads: DataFrame, cutoff: Column, payload: str = "payload") -> DataFrame:
+    """(issuer, ordinal, title, site, url, ts) of a vendor's news with a title, the cutoff included."""
+    rows = vendor_rows(payloads, payload=payload).select("issuer", "ordinal", F.left(F.trim(_first("title")), F.lit(TITLE)).alias("title"), _first("site").alias("site"), _first("url").alias("url"), instant(_first("publishedDate", "date")).alias("ts"))
+    return rows.where("title <> ''").where(F.col("ts") >= cutoff)
+
+
+def vendor_trades(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """(issuer, ordinal, kind, person, shares, price, url, ts) of a vendor's insider rows, as vendor_insider_clusters takes them."""
+    rows = vendor_rows(payloads, payload=payload)
+    return rows.select(
+        "issuer", "ordinal", _first("transactionType").alias("kind"), _first("reportingName", "reportingCik").alias("person"), finite(_first("securitiesTransacted", "shares")).alias("shares"),
+        finite(_first("price")).alias("price"), _first("filingUrl", "link", "url").alias("url"), instant(_first("transactionDate", "filingDate")).alias("ts"),
+    )
+
+
+def technical_series(payloads: DataFrame, lookback_days: Column, payload: str = "payload") -> DataFrame:
+    """(issuer, indicator, ordinal, ts, value, close) of a vendor's daily series, newest first: the first 5 to 100 rows, two more than the lookback's days."""
+    names = ("rsi_14", "sma_20", "ema_12", "ema_26")
+    row = "array<struct<date: string, value: double, close: double>>"
+    both = payloads.select("issuer", F.greatest(F.lit(5), F.least(F.lit(100), lookback_days + 2)).alias("most"), F.from_json(payload, ", ".join(f"{n} {row}" for n in names)).alias("p"))
+    series = F.explode(F.create_map(*(x for n in names for x in (F.lit(n), F.col(f"p.{n}"))))).alias("indicator", "rows")
+    each = both.select("issuer", "most", series).select("issuer", "indicator", "most", F.posexplode("rows").alias("ordinal", "v")).where("ordinal < most")
+    return each.select("issuer", "indicator", "ordinal", instant(F.col("v.date")).alias("ts"), "v.value", "v.close").where("ts is not null")
+
+
+def lobbying_rows(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """(issuer, ordinal, ts, url) of a vendor's dated lobbying rows, in the shape that lobbying counts take."""
+    rows = vendor_rows(payloads, "data", payload=payload)
+    return rows.select("issuer", "ordinal", instant(_first("date", "postedDate", "dtPosted")).alias("ts"), _first("url", "documentUrl").alias("url")).where("ts is not null")

@@ -11,6 +11,7 @@ from ferrule.functions.text import first_filled
 #: Tracked forms, their strengths, and bounds of a scan.
 TRACKED = ("8-K", "8-K/A", "10-Q", "10-Q/A", "10-K", "10-K/A", "6-K", "20-F", "40-F")
 STRENGTHS = {"8-K": 0.8, "6-K": 0.75, "10-Q": 0.65, "10-K": 0.7, "20-F": 0.7, "40-F": 0.7}
+FUND_FORMS = ("N-CEN", "N-CEN/A", "NPORT-P", "NPORT-P/A")
 OTHER_STRENGTH, MOST_FILINGS, MOST_EXHIBITS = 0.6, 10, 20
 
 TICKER_MAP = "fields array<string>, data array<array<string>>"
@@ -68,7 +69,13 @@ def archive_url(cik: Column, accession: Column, document: Column) -> Column:
     """The document's place in the archive by its base name; null for a path that leaves it."""
     name = F.element_at(F.split(document, "/"), -1)
     safe = name.rlike("^[A-Za-z0-9._-]+$") & ~name.isin(".", "..")
-    return F.when(safe, F.concat_ws("/", F.lit("https://www.sec.gov/Archives/edgar/data"), F.regexp_replace(cik, "^0+", ""), F.replace(accession, F.lit("-"), F.lit("")), name))
+    return F.when(safe, F.concat_ws("/", F.lit("https://www.sec.gov/Archives/edgar/data"), F.regexp_replace(cik, "^0+(?=.)", ""), F.replace(accession, F.lit("-"), F.lit("")), name))
+
+
+def fund_filings(rows: DataFrame, cutoff: Column, expected: DataFrame) -> DataFrame:
+    """Tracked fund forms of submissions rows since the cutoff, of the companies in expected (key, cik) whose payload is their own: rows has payload_cik."""
+    own = rows.join(expected.select(F.col("key").alias("cik"), F.lpad("cik", 10, "0").alias("_own")), "cik").where(F.lpad("payload_cik", 10, "0") == F.col("_own"))
+    return own.where(F.col("form").isin(*FUND_FORMS) & (F.col("ts") >= cutoff)).drop("_own", "payload_cik")
 
 
 def exhibits(payload: Column) -> Column:

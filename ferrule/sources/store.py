@@ -46,6 +46,13 @@ def upsert_state(rows: DataFrame, path: str, keys: list[str], version: int | Non
     return write(rows if old is None else merge_state(old, rows, keys), path, version)
 
 
+def merge_documents(old: DataFrame, new: DataFrame, key: str = "url", kept: tuple[str, ...] = ("filed_at", "first_retrieved_at")) -> DataFrame:
+    """Cached documents after an update: a known key takes all columns of its new row but the times it was first seen with; new keys are added."""
+    was = old.select(key, *(F.col(c).alias(f"_{c}") for c in kept), F.lit(True).alias("_known"))
+    fresh = new.join(was, key, "left").select(*(F.when(F.col("_known"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in kept else F.col(c) for c in new.columns))
+    return old.join(new.select(key), key, "left_anti").select(*new.columns).unionByName(fresh)
+
+
 def hits_and_misses(wanted: DataFrame, cache: DataFrame, parser_version: str, key: str = "url") -> tuple[DataFrame, DataFrame]:
     """Cached rows of this parser version for what is wanted, and what has to be parsed."""
     current = cache.where(F.col("parser_version") == parser_version)
