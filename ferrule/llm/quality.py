@@ -19,7 +19,7 @@ MOST_LABELS = 20_000
 #: Hidden units, passes, rows in a step, step size, weight decay, and the share of labelled rows that set the temperature.
 HIDDEN, EPOCHS, STEP_ROWS, RATE, DECAY, CALIBRATION = 32, 30, 256, 3e-3, 1e-4, 5
 #: Bytes of text that are taken together.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 WORDS = 1 << WORD_BITS
 
 
