@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.keys import hash_key, prefixed
-from ferrule.functions.text import normalize_title
+from ferrule.functions.text import normalize_title, token_set_ratio
 from ferrule.functions.urls import canonical_url
 
 #: Ranks of source tiers, the hours between near events, and the least similarity of their titles.
@@ -57,47 +61,58 @@ def fold_events(rows, state=None):
     a correction, or has other numbers under like words, opens the next version of that event instead. state is a
     list of earlier events, extended in place. An event's id is the arrival of its first observation.
     """
-    import re
-    from datetime import timedelta
-
-    from ferrule.functions.text import token_set_ratio
-
-    correction, number = re.compile(CORRECTION), re.compile(NUMBER)
     events = state if state is not None else []
-    by_key, out = {e["event_key"]: e for e in events}, []
-
-    def corrects(new, old):
-        if correction.search(new):
-            return True
-        if number.findall(new) == number.findall(old):
-            return False
-        return token_set_ratio(number.sub("", new), number.sub("", old)) >= NEAR_RATIO
-
+    by_key, by_time, out = {e["event_key"]: e for e in events}, {}, []
+    spans = lambda r: int(r["published_at"].timestamp() // (NEAR_HOURS * 3600))
+    for e in events:
+        by_time.setdefault(spans(e), []).append(e)
     for r in sorted(rows, key=lambda r: r["arrival"]):
         event, exact, earlier = by_key.get(r["event_key"]), True, None
         if event is None:
-            exact, best = False, NEAR_RATIO
-            for e in events:
-                if abs(e["published_at"] - r["published_at"]) <= timedelta(hours=NEAR_HOURS):
-                    ratio = token_set_ratio(r["normal_title"], e["normal_title"])
-                    if ratio > best or ratio == best and event is None:
-                        best, event = ratio, e
-            if event is not None and corrects(r["normal_title"], event["normal_title"]):
+            exact, span = False, spans(r)
+            event = nearest(r, [e for s in (span - 1, span, span + 1) for e in by_time.get(s, ())])
+            if event is not None and Wording.of(r["normal_title"]).corrects(Wording.of(event["normal_title"])):
                 event, earlier = None, event
             if event is None:
                 version = earlier["version"] + 1 if earlier else 1
                 event = {k: r[k] for k in ("event_key", "normal_title", "published_at")} | {"event_id": r["arrival"], "version": version, "correction_of": earlier and earlier["event_id"]}
                 events.append(event)
                 by_key[r["event_key"]] = event
+                by_time.setdefault(span, []).append(event)
         out.append({"issuer": r["issuer"], "arrival": r["arrival"], "event_id": event["event_id"], "version": event["version"], "correction_of": event["correction_of"], "exact": exact})
     return out
 
 
+def nearest(row: dict, events: list[dict]) -> dict | None:
+    """The event within NEAR_HOURS with the most similar title, at NEAR_RATIO or more; the smallest id among equals."""
+    rated = [(token_set_ratio(row["normal_title"], e["normal_title"]), -e["event_id"], e) for e in events if abs((e["published_at"] - row["published_at"]).total_seconds()) <= NEAR_HOURS * 3600]
+    ratio, _, event = max(rated, key=lambda x: x[:2], default=(0.0, 0, None))
+    return event if ratio >= NEAR_RATIO else None
+
+
+@dataclass(frozen=True)
+class Wording:
+    """What a title says apart from its numbers, these in order, and whether it announces a correction."""
+
+    words: str
+    numbers: tuple[str, ...]
+    announced: bool
+
+    @staticmethod
+    @lru_cache(maxsize=4096)
+    def of(title: str) -> Wording:
+        return Wording(re.sub(NUMBER, "", title), tuple(re.findall(NUMBER, title)), re.search(CORRECTION, title) is not None)
+
+    def corrects(self, old: Wording) -> bool:
+        return self.announced or (self.numbers != old.numbers and token_set_ratio(self.words, old.words) >= NEAR_RATIO)
+
+
 def near_events(seen: DataFrame, gap_hours: int = NEAR_HOURS) -> DataFrame:
     """(issuer, arrival, event_id, version, correction_of, exact) of each observation, folded in order of arrival.
 
     Titles can only meet within gap_hours, so an issuer's observations are cut wherever published times leave a longer gap,
-    and each stretch is folded by itself: a busy issuer isn't one task. Copies of an exact key join their first
+    and each stretch is folded by itself. An issuer that never pauses is one stretch, so one task; there titles meet only those of
+    neighbouring spans of time. Copies of an exact key join their first
     observation without entering the fold.
     """
     first = Window.partitionBy("issuer", "event_key").orderBy("arrival")

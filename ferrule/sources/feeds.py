@@ -46,9 +46,9 @@ def ngrams(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ngram_lines(lines: DataFrame) -> DataFrame:
-    """lines (value and others) as document, ngram, n: three parts, a document of digits, a whole number, at most MOST_LINE_BYTES; others go."""
+    """lines (value and others) as document, ngram, n: three parts, the last a whole number, at most MOST_LINE_BYTES; others go."""
     part = F.split("value", "\t")
-    rows = lines.where((F.size(part) == 3) & (F.octet_length("value") <= MOST_LINE_BYTES) & part[0].rlike("^[0-9]+$"))
+    rows = lines.where((F.size(part) == 3) & (F.octet_length("value") <= MOST_LINE_BYTES))
     return rows.select(*(c for c in lines.columns if c != "value"), part[0].alias("document"), part[1].alias("ngram"), part[2].try_cast("bigint").alias("n")).where("n is not null")
 
 
@@ -65,7 +65,7 @@ def content_lines(lines: DataFrame) -> DataFrame:
 
 
 def news_refresh(grams: DataFrame, toc: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Titles that n-gram files name an issuer for, and counters of each file and issuer.
+    """Titles that n-gram files name an issuer for, and counters of each file and issuer. Documents whose id isn't a number are passed over.
 
     grams: file, line, document, ngram. toc: file, line, document, title, url, ts. rules as for match_rules. In each file an issuer's
     candidates are the MOST_CANDIDATES documents first named, in the order of lines; what later lines say of these still counts.
@@ -73,7 +73,7 @@ def news_refresh(grams: DataFrame, toc: DataFrame, rules: DataFrame) -> tuple[Da
     Counters: candidates, matches, accepted, ingested, overflow.
     """
     ident = F.struct("file", "line", "document")
-    named = match_rules(grams.select(ident.alias("text_id"), F.col("ngram").alias("text")), rules).select("text_id.*", "issuer").distinct()
+    named = match_rules(grams.where(F.col("document").rlike("^[0-9]+$")).select(ident.alias("text_id"), F.col("ngram").alias("text")), rules).select("text_id.*", "issuer").distinct()
     found = named.groupBy("file", "issuer", "document").agg(F.min("line").alias("first"), F.count("*").alias("matches"))
     candidates, _ = capped(found, ["file", "issuer"], "first", MOST_CANDIDATES)
     met = candidates.join(toc, ["file", "document"]).select("file", "issuer", "document", "line", "title", "url", "ts", "matches")
