@@ -31,10 +31,14 @@ RULES = (
 )
 #: PageRank's damping, the rounds between two tests of convergence, and the share of a host's trust and distrust from which it is blocked.
 DAMPING, ROUNDS, BLOCK_FROM = 0.85, 10, 0.5
+#: Rounds after which ranks are cut.
+CUT_ROUNDS = 3
 #: Ranks have converged when none grew by a larger share of itself in ROUNDS rounds.
 TOLERANCE = 1e-6
 #: Parts into which the links of a hub are dealt.
 SALTS = 64
+#: Ranks of up to so many hosts are sent to the links, which then stay where they are; those of more meet the links in a shuffle.
+BROADCAST_HOSTS = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -77,32 +81,39 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(tied).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """(host, rank): PageRank that restarts at the seeds, columns host and mass, by their mass.
 
     Rank of a host without outgoing edges is dropped rather than spread, so no round needs a global
-    sum. Shares are summed per target before the shuffle, so a host with many incoming edges is no hot key. Hubs, hosts with over
-    one in HOT_SHARE of all outgoing edges, are fewer than HOT_SHARE; their edges are dealt to SALTS parts, each of which gets their rank.
+    sum. Shares are summed per target before the shuffle, so a host with many incoming edges is no hot key. Ranks of at most broadcast_hosts
+    hosts with outgoing edges are broadcast. With more hosts ranks meet edges in a shuffle, where hubs, hosts with over one in HOT_SHARE of all
+    outgoing edges and so fewer than HOT_SHARE, have their edges dealt to SALTS parts, each of which gets their rank.
     Ranks begin with the restarts alone, so they only grow, each towards its limit. Rounds go on until none
     grows by more than tolerance of itself in this many rounds, and a host first reached counts as grown:
     every host that a seed reaches has a rank, however far it is.
     """
     start = cut(seeds.where("mass > 0"))
     out = cut(edges.groupBy("src").agg(F.sum("weight").alias("all"), F.count("*").alias("n")))
-    total = out.agg(F.sum("n").alias("n")).first()["n"] or 0
-    hubs = cut(out.where(F.col("n") * HOT_SHARE > total).select("src", F.sequence(F.lit(0), F.lit(SALTS - 1)).alias("salts")))
     share = join_groups(edges, out, "src", "n").select("src", "dst", (F.col("weight") / F.col("all")).alias("share"))
-    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.hash("dst"), F.lit(SALTS)))
-    flow = cut(share.join(F.broadcast(hubs), "src", "left").select("src", "dst", "share", salt.alias("salt")))
-    dealt = lambda rank: rank.withColumnRenamed("host", "src").join(F.broadcast(hubs), "src", "left").select(
-        "src", "rank", F.explode(F.coalesce("salts", F.array(F.lit(0)))).alias("salt")
-    )
+    total = out.agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).first()
+    if total["hosts"] <= broadcast_hosts:
+        flow, keys = cut(share), ["src"]
+        dealt = lambda rank: F.broadcast(rank.withColumnRenamed("host", "src"))
+    else:
+        hubs = cut(out.where(F.col("n") * HOT_SHARE > total["n"]).select("src", F.sequence(F.lit(0), F.lit(SALTS - 1)).alias("salts")))
+        salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.hash("dst"), F.lit(SALTS)))
+        flow, keys = cut(share.join(F.broadcast(hubs), "src", "left").select("src", "dst", "share", salt.alias("salt"))), ["src", "salt"]
+        dealt = lambda rank: rank.withColumnRenamed("host", "src").join(F.broadcast(hubs), "src", "left").select(
+            "src", "rank", F.explode(F.coalesce("salts", F.array(F.lit(0)))).alias("salt")
+        )
     again = start.select("host", (F.col("mass") * (1 - damping)).alias("rank"))
     rank = again
     while True:
         last = rank.select("host", F.col("rank").alias("last"))
-        for _ in range(rounds):
-            moved = flow.join(dealt(rank), ["src", "salt"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+        for done in range(rounds):
+            if done and done % CUT_ROUNDS == 0:
+                rank = cut(rank)
+            moved = flow.join(dealt(rank), keys).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
             rank = moved.unionByName(again).groupBy("host").agg(F.sum("rank").alias("rank"))
         rank = cut(rank)
         grown = F.when(F.col("rank") > 0, (F.col("rank") - F.coalesce("last", F.lit(0.0))) / F.col("rank"))

@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+import pytest
+
 from ferrule.llm import url_filter
 
 
@@ -20,11 +22,12 @@ def limit(edges, seeds):
     return now
 
 
-def test_rank_converges(spark):
+@pytest.mark.parametrize("broadcast_hosts", [0, 100_000])
+def test_rank_converges(spark, broadcast_hosts):
     chain = {(f"h{i}", f"h{i + 1}"): 1.0 for i in range(34)}
     star = {(a, b): 1.0 for i in range(5) for a, b in (("hub", f"s{i}"), (f"s{i}", "hub"))}
     edges, seeds = chain | star | {("s0", "h0"): 2.0}, {"hub": 3.0, "h2": 1.0}
-    rank = url_filter.personalised_rank(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, weight double"), spark.createDataFrame([(h, n / 4) for h, n in seeds.items()], "host string, mass double"))
+    rank = url_filter.personalised_rank(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, weight double"), spark.createDataFrame([(h, n / 4) for h, n in seeds.items()], "host string, mass double"), broadcast_hosts=broadcast_hosts)
     got, want = {r.host: r["rank"] for r in rank.collect()}, limit(edges, seeds)
     assert got.keys() == want.keys() and all(abs(got[h] - want[h]) <= 1e-5 * want[h] for h in want)
 
