@@ -166,7 +166,7 @@ def _observations(spark: SparkSession, sf_dir: str, title: Column) -> DataFrame:
 
 @query(f"""with seen as (
         select lang as issuer, source as source_id, (doc_id % 50)::varchar as record_id, doc_id as arrival, 'https://example.org/' || substr(md5(text), 1, 2) as canonical_url,
-            {TITLE_SQL.format("left(split_part(text, chr(10), 1), 80)")} as normal_title, case doc_id % 5 when 0 then 50 when 1 then 80 when 2 then 95 when 3 then 100 else 10 end as rank from documents
+            {TITLE_SQL.format("split_part(text, chr(10), 1)")} as normal_title, case doc_id % 5 when 0 then 50 when 1 then 80 when 2 then 95 when 3 then 100 else 10 end as rank from documents
     ), keyed as (
         select *, sha256(source_id || chr(31) || record_id || chr(31) || canonical_url || chr(31) || normal_title) as observation_key,
             sha256(issuer || chr(31) || normal_title || chr(31) || canonical_url) as event_key from seen where normal_title <> ''
@@ -176,8 +176,8 @@ def _observations(spark: SparkSession, sf_dir: str, title: Column) -> DataFrame:
         'clm_' || sha256(issuer || chr(31) || event_key) as claim_id
     from linked join first using (observation_key) group by all""")
 def exact_event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(80))
-    return graph.exact_events(graph.observations(_observations(spark, sf_dir, title)))
+    """A title is the whole first line."""
+    return graph.exact_events(graph.observations(_observations(spark, sf_dir, F.split_part("text", F.lit("\n"), F.lit(1)))))
 
 
 @query()
