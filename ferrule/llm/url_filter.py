@@ -85,9 +85,10 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS,
     """(host, rank): PageRank that restarts at the seeds, columns host and mass, by their mass.
 
     Rank of a host without outgoing edges is dropped rather than spread, so no round needs a global
-    sum. Shares are summed per target before the shuffle, so a host with many incoming edges is no hot key. Ranks of at most broadcast_hosts
-    hosts with outgoing edges are broadcast. With more hosts ranks meet edges in a shuffle, where hubs, hosts with over one in HOT_SHARE of all
-    outgoing edges and so fewer than HOT_SHARE, have their edges dealt to SALTS parts, each of which gets their rank.
+    sum. Ranks of at most broadcast_hosts hosts are broadcast to the edges, dealt by target, of which a target has at most as many; every seed
+    has an edge of no weight to itself, so that it keeps its restart. With more hosts ranks meet edges in a shuffle and shares are summed per
+    target before the next, so a host with many incoming edges is no hot key; hubs, hosts with over one in HOT_SHARE of all outgoing edges
+    and so fewer than HOT_SHARE, have their edges dealt to SALTS parts, each of which gets their rank.
     Ranks begin with the restarts alone, so they only grow, each towards its limit. Rounds go on until none
     grows by more than tolerance of itself in this many rounds, and a host first reached counts as grown:
     every host that a seed reaches has a rank, however far it is.
@@ -95,17 +96,26 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS,
     start = cut(seeds.where("mass > 0"))
     out = cut(edges.groupBy("src").agg(F.sum("weight").alias("all"), F.count("*").alias("n")))
     share = join_groups(edges, out, "src", "n").select("src", "dst", (F.col("weight") / F.col("all")).alias("share"))
-    total = out.agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).first()
-    if total["hosts"] <= broadcast_hosts:
-        flow, keys = cut(share), ["src"]
-        dealt = lambda rank: F.broadcast(rank.withColumnRenamed("host", "src"))
+    total = out.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hosts = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).unionByName(start.select("host")).distinct()
+    few = hosts.count() <= broadcast_hosts
+    if few:
+        stay = start.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(0.0).alias("share"))
+        flow = cut(share.unionByName(stay))
     else:
-        hubs = cut(out.where(F.col("n") * HOT_SHARE > total["n"]).select("src", F.sequence(F.lit(0), F.lit(SALTS - 1)).alias("salts")))
+        hubs = cut(out.where(F.col("n") * HOT_SHARE > total).select("src", F.sequence(F.lit(0), F.lit(SALTS - 1)).alias("salts")))
         salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.hash("dst"), F.lit(SALTS)))
-        flow, keys = cut(share.join(F.broadcast(hubs), "src", "left").select("src", "dst", "share", salt.alias("salt"))), ["src", "salt"]
-        dealt = lambda rank: rank.withColumnRenamed("host", "src").join(F.broadcast(hubs), "src", "left").select(
-            "src", "rank", F.explode(F.coalesce("salts", F.array(F.lit(0)))).alias("salt")
-        )
+        flow = cut(share.join(F.broadcast(hubs), "src", "left").select("src", "dst", "share", salt.alias("salt")))
+
+    def moved(rank):
+        to = [F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank")]
+        rank = rank.withColumnRenamed("host", "src")
+        if few:
+            got = flow.repartition("dst").join(F.broadcast(rank), "src").select(*to).groupBy("host").agg(F.sum("rank").alias("moved"))
+            return got.join(F.broadcast(again.withColumnRenamed("rank", "restart")), "host", "left").select("host", (F.col("moved") + F.coalesce("restart", F.lit(0.0))).alias("rank"))
+        dealt = rank.join(F.broadcast(hubs), "src", "left").select("src", "rank", F.explode(F.coalesce("salts", F.array(F.lit(0)))).alias("salt"))
+        return flow.join(dealt, ["src", "salt"]).select(*to).unionByName(again).groupBy("host").agg(F.sum("rank").alias("rank"))
+
     again = start.select("host", (F.col("mass") * (1 - damping)).alias("rank"))
     rank = again
     while True:
@@ -113,8 +123,7 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS,
         for done in range(rounds):
             if done and done % CUT_ROUNDS == 0:
                 rank = cut(rank)
-            moved = flow.join(dealt(rank), keys).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-            rank = moved.unionByName(again).groupBy("host").agg(F.sum("rank").alias("rank"))
+            rank = moved(rank)
         rank = cut(rank)
         grown = F.when(F.col("rank") > 0, (F.col("rank") - F.coalesce("last", F.lit(0.0))) / F.col("rank"))
         if (rank.join(last, "host", "left").agg(F.max(grown).alias("most")).first()["most"] or 0.0) <= tolerance:
