@@ -29,15 +29,15 @@ RULES = (
     Rule("example.com", "/de/", "block"),
     Rule("org", "/fr/", "allow"),
 )
-#: PageRank's damping, the rounds between two tests of convergence, and the share of a host's trust and distrust from which it is blocked.
+#: PageRank's damping, the sweeps of a block between two tests of its growth, and the share of a host's trust and distrust from which it is blocked.
 DAMPING, ROUNDS, BLOCK_FROM = 0.85, 10, 0.5
-#: Rounds after which ranks are cut.
-CUT_ROUNDS = 3
-#: Ranks have converged when none grew by a larger share of itself in ROUNDS rounds.
+#: Share of itself to which a rank is known.
 TOLERANCE = 1e-6
+#: Edges of a block of hosts that one task sweeps; there are as many blocks as it takes.
+BLOCK_EDGES = 250_000
 #: Parts into which the links of a hub are dealt.
 SALTS = 64
-#: Ranks of up to so many hosts are sent to the links, which then stay where they are; those of more meet the links in a shuffle.
+#: Ranks of up to so many hosts are sent to the links between blocks; those of more meet these in a shuffle.
 BROADCAST_HOSTS = 100_000
 
 
@@ -81,53 +81,98 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(tied).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+def blocks_of(share: DataFrame, block_edges: int, broadcast_rows: int = BROADCAST_HOSTS) -> tuple[DataFrame, DataFrame]:
+    """(inner, outer) of share, columns src, dst and share: inner edges join hosts of one block, outer ones all others.
+
+    A block holds whole domains, by the last two labels of a host, as most links of the web stay in their domain; a domain
+    of over block_edges links, of which there are at most as many as blocks, is dealt to blocks by host, so that a hot one fills no
+    task. Any cut is right: it only decides how many rounds there are. inner: block, src, dst, share; outer: src, dst, share.
+    """
+    domain = lambda c: F.regexp_extract(c, r"([^.]*\.)?[^.]*$", 0)
+    blocks = share.count() // block_edges + 1
+    dealt = lambda key: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    large = share.where(domain("src") == domain("dst")).groupBy(domain("src").alias("domain")).agg(F.count("*").alias("n"))
+    large = cut(large.where(F.col("n") > block_edges).select("domain"))
+    large = F.broadcast(large) if large.count() <= broadcast_rows else large
+    for end in ("src", "dst"):
+        share = share.withColumn("domain", domain(end)).join(large.withColumn("large", F.lit(True)), "domain", "left")
+        share = share.withColumn(f"{end}_block", F.when(F.col("large"), dealt(end)).otherwise(dealt("domain"))).drop("domain", "large")
+    share = cut(share)
+    inner = share.where("src_block = dst_block").select(F.col("src_block").alias("block"), "src", "dst", "share")
+    return inner, share.where("src_block <> dst_block").select("src", "dst", "share")
+
+
+def settle(damping: float, growth: float):
+    """A function over the inner edges and the hosts of one block, which gives these with ranks that agree, to within growth, with
+    their restarts, what moved in from other blocks and the block's own edges; ranks start where they were and only grow."""
+
+    def run(key, edges, hosts):
+        import numpy as np
+        import pandas as pd
+
+        hosts = hosts.groupby("host", as_index=False, sort=True)[["restart", "moved", "rank"]].sum()
+        at, base, rank = pd.Index(hosts["host"]), (hosts["restart"] + hosts["moved"]).to_numpy(), hosts["rank"].to_numpy()
+        edges = edges.sort_values(["dst", "src"])
+        src, dst, flow = at.get_indexer(edges["src"]), at.get_indexer(edges["dst"]), damping * edges["share"].to_numpy()
+        while True:
+            last = rank
+            for _ in range(ROUNDS):
+                rank = base + np.bincount(dst, weights=rank[src] * flow, minlength=len(at))
+            if not (rank - last > growth * rank).any():
+                return hosts.assign(block=key[0], rank=rank)[["host", "block", "restart", "rank"]]
+
+    return run
+
+
+def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, broadcast_hosts: int = BROADCAST_HOSTS, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """(host, rank): PageRank that restarts at the seeds, columns host and mass, by their mass.
 
     Rank of a host without outgoing edges is dropped rather than spread, so no round needs a global
-    sum. Ranks of at most broadcast_hosts hosts are broadcast to the edges, dealt by target, of which a target has at most as many; every seed
-    has an edge of no weight to itself, so that it keeps its restart. With more hosts ranks meet edges in a shuffle and shares are summed per
-    target before the next, so a host with many incoming edges is no hot key; hubs, hosts with over one in HOT_SHARE of all outgoing edges
-    and so fewer than HOT_SHARE, have their edges dealt to SALTS parts, each of which gets their rank.
-    Ranks begin with the restarts alone, so they only grow, each towards its limit. Rounds go on until none
-    grows by more than tolerance of itself in this many rounds, and a host first reached counts as grown:
-    every host that a seed reaches has a rank, however far it is.
+    sum. Hosts are cut into blocks of some block_edges edges, whatever their number. A round moves rank along the edges between blocks, summed per
+    target before the next, then each block sweeps its own edges until they agree (block Jacobi), so that the number of rounds depends on
+    the links between blocks alone and there is one round where there are none.
+    Ranks of at most broadcast_hosts hosts are broadcast to the edges between blocks; more meet them in a shuffle. Hubs, hosts with over one
+    in HOT_SHARE of all outgoing edges and so fewer than HOT_SHARE, have their edges dealt to SALTS parts, each of which gets their rank.
+    Ranks begin at nothing, so they only grow, each towards its limit. What is still to come is about damping / (1 - damping) times the
+    growth of a round, so rounds go on until no rank grew by tolerance * (1 - damping)² of itself; a host first reached
+    counts as grown: every host that a seed reaches has a rank, however far it is.
     """
-    start = cut(seeds.where("mass > 0"))
+    start, growth = cut(seeds.where("mass > 0")), tolerance * (1 - damping) ** 2
     out = cut(edges.groupBy("src").agg(F.sum("weight").alias("all"), F.count("*").alias("n")))
-    share = join_groups(edges, out, "src", "n").select("src", "dst", (F.col("weight") / F.col("all")).alias("share"))
+    share = cut(join_groups(edges, out, "src", "n").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")))
     total = out.agg(F.sum("n").alias("n")).first()["n"] or 0
-    hosts = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).unionByName(start.select("host")).distinct()
-    few = hosts.count() <= broadcast_hosts
-    if few:
-        stay = start.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(0.0).alias("share"))
-        flow = cut(share.unionByName(stay))
-    else:
-        hubs = cut(out.where(F.col("n") * HOT_SHARE > total).select("src", F.sequence(F.lit(0), F.lit(SALTS - 1)).alias("salts")))
-        salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.hash("dst"), F.lit(SALTS)))
-        flow = cut(share.join(F.broadcast(hubs), "src", "left").select("src", "dst", "share", salt.alias("salt")))
-
-    def moved(rank):
-        to = [F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank")]
-        rank = rank.withColumnRenamed("host", "src")
-        if few:
-            got = flow.repartition("dst").join(F.broadcast(rank), "src").select(*to).groupBy("host").agg(F.sum("rank").alias("moved"))
-            return got.join(F.broadcast(again.withColumnRenamed("rank", "restart")), "host", "left").select("host", (F.col("moved") + F.coalesce("restart", F.lit(0.0))).alias("rank"))
-        dealt = rank.join(F.broadcast(hubs), "src", "left").select("src", "rank", F.explode(F.coalesce("salts", F.array(F.lit(0)))).alias("salt"))
-        return flow.join(dealt, ["src", "salt"]).select(*to).unionByName(again).groupBy("host").agg(F.sum("rank").alias("rank"))
-
-    again = start.select("host", (F.col("mass") * (1 - damping)).alias("rank"))
-    rank = again
+    inner, outer = blocks_of(share, block_edges)
+    inner = cut(inner.repartition("block"))
+    homes = inner.select(F.col("dst").alias("host"), "block").unionByName(inner.select(F.col("src").alias("host"), "block")).distinct()
+    ends = share.select(F.col("src").alias("host")).unionByName(share.select(F.col("dst").alias("host"))).unionByName(start.select("host")).distinct()
+    hubs = cut(out.where(F.col("n") * HOT_SHARE > total).select("src", F.sequence(F.lit(0), F.lit(SALTS - 1)).alias("salts")))
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.hash("dst"), F.lit(SALTS)))
+    outer = cut(outer.join(F.broadcast(hubs), "src", "left").select("src", "dst", "share", salt.alias("salt")))
+    restart = start.select("host", (F.col("mass") * (1 - damping)).alias("restart"))
+    state = ends.join(homes, "host", "left").join(restart, "host", "left")
+    state = cut(state.select("host", "block", F.coalesce("restart", F.lit(0.0)).alias("restart"), F.lit(0.0).alias("rank")))
+    home = state.select("host", "block")
+    few, alone, run = state.count() <= broadcast_hosts, outer.isEmpty(), settle(damping, growth)
     while True:
-        last = rank.select("host", F.col("rank").alias("last"))
-        for done in range(rounds):
-            if done and done % CUT_ROUNDS == 0:
-                rank = cut(rank)
-            rank = moved(rank)
-        rank = cut(rank)
-        grown = F.when(F.col("rank") > 0, (F.col("rank") - F.coalesce("last", F.lit(0.0))) / F.col("rank"))
-        if (rank.join(last, "host", "left").agg(F.max(grown).alias("most")).first()["most"] or 0.0) <= tolerance:
-            return rank
+        rank = state.where("rank > 0").select(F.col("host").alias("src"), "rank")
+        if few:
+            met = outer.join(F.broadcast(rank), "src")
+        else:
+            dealt = rank.join(F.broadcast(hubs), "src", "left").select("src", "rank", F.explode(F.coalesce("salts", F.array(F.lit(0)))).alias("salt"))
+            met = outer.join(dealt, ["src", "salt"])
+        moved = met.groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share") * damping).alias("moved"))
+        moved = moved.join(F.broadcast(home) if few else home, "host").select("block", "host", F.lit(0.0).alias("restart"), "moved", F.lit(0.0).alias("rank"))
+        hosts = state.select("block", "host", "restart", F.lit(0.0).alias("moved"), "rank").unionByName(moved)
+        found = inner.groupBy("block").cogroup(hosts.where("block is not null").groupBy("block")).applyInPandas(run, "host string, block int, restart double, rank double")
+        # A host without an edge in a block has nothing to sweep.
+        still = hosts.where("block is null").groupBy("host").agg(F.lit(None).cast("int").alias("block"), F.sum("restart").alias("restart"), F.sum(F.col("restart") + F.col("moved")).alias("rank"))
+        last, state = state.select("host", F.col("rank").alias("last")), cut(found.unionByName(still))
+        if alone:
+            break
+        grown = F.when(F.col("rank") > 0, (F.col("rank") - F.col("last")) / F.col("rank"))
+        if (state.join(last, "host").agg(F.max(grown).alias("most")).first()["most"] or 0.0) <= growth:
+            break
+    return state.where("rank > 0").select("host", "rank")
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
