@@ -1,4 +1,4 @@
-"""Tables of the evidence store: Parquet folders, a version each, so that readers never see half a write."""
+"""Tables of the evidence store: Parquet folders, a version each, and what was added since, so that readers never see half a write."""
 
 from __future__ import annotations
 
@@ -8,36 +8,58 @@ from pyspark.sql import functions as F
 from ferrule.operators.quality import merge_state
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions below path, on whatever file system it is."""
+def _complete(spark: SparkSession, path: str) -> dict[int, str]:
+    """Complete folders below path by their number, on whatever file system it is: whole versions, else additions."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(root):
-        return []
+        return {}
     names = [s.getPath().getName() for s in files.listStatus(root)]
-    done = [n for n in names if n.startswith("version-") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(int(n.removeprefix("version-")) for n in done)
+    done = [n for n in names if n.startswith(("version-", "added-")) and files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return dict(sorted((int(n.rpartition("-")[2]), n) for n in done))
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions below path; an addition is one."""
+    return list(_complete(spark, path))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame | None:
-    known = versions(spark, path)
-    return spark.read.parquet(f"{path}/version-{known[-1]}") if known else None
+    """The last whole version and what was added after it."""
+    known = _complete(spark, path)
+    whole = max((i for i, name in known.items() if name.startswith("version-")), default=-1)
+    now = [f"{path}/{name}" for i, name in known.items() if i >= whole]
+    return spark.read.parquet(*now) if now else None
 
 
-def write(df: DataFrame, path: str, version: int | None = None) -> int:
-    """Write df as the next version, or as the one named, over an earlier try at it."""
+def write(df: DataFrame, path: str, version: int | None = None, kind: str = "version") -> int:
+    """Write df as the next version, or as the one named, over an earlier try at it. kind added: only rows that come on top."""
     known = versions(df.sparkSession, path)
     number = version if version is not None else (known[-1] + 1 if known else 0)
-    df.write.mode("overwrite").parquet(f"{path}/version-{number}")
+    df.write.mode("overwrite").parquet(f"{path}/{kind}-{number}")
     return number
 
 
 def append_new(rows: DataFrame, path: str, key: str, version: int | None = None) -> int:
-    """Add rows whose key the table doesn't have, each key once."""
+    """Add rows whose key the table doesn't have, each key once. Only these are written; of the table, only keys are read."""
     old = read(rows.sparkSession, path)
     fresh = rows.dropDuplicates([key])
-    return write(fresh if old is None else old.unionByName(fresh.join(old.select(key), key, "left_anti")), path, version)
+    if old is None:
+        return write(fresh, path, version)
+    return write(fresh.join(old.select(key), key, "left_anti").select(*old.columns), path, version, "added")
+
+
+def compact(spark: SparkSession, path: str) -> int | None:
+    """Write the table as one whole version, once additions are many; None for no table.
+
+    It gets the number of the last addition, which it replaces, so that the numbers of a stream's batches stay free.
+    """
+    known = _complete(spark, path)
+    last = max(known, default=None)
+    if last is None or known[last].startswith("version-"):
+        return last
+    return write(read(spark, path), path, last)
 
 
 def upsert_state(rows: DataFrame, path: str, keys: list[str], version: int | None = None) -> int:

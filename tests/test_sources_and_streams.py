@@ -148,3 +148,16 @@ def test_states_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     assert events.states_to_table(stream, str(tmp_path / "t"), ["k"], str(tmp_path / "c")).awaitTermination(120)
     assert {r.k: r.succeeded for r in store.read(spark, str(tmp_path / "t")).collect()} == {"a": NOW, "b": None}
+
+
+def test_additions(spark, tmp_path):
+    """Only new keys are written, a table reads as before after compaction, and half a write is no version."""
+    path = str(tmp_path / "t")
+    for ids in ([1, 2, 2], [2, 3], [3], [4]):
+        store.append_new(spark.createDataFrame([(i,) for i in ids], "id long"), path, "id")
+    assert store.versions(spark, path) == [0, 1, 2, 3]
+    assert sorted(r.id for r in spark.read.parquet(f"{path}/added-1").collect()) == [3] and spark.read.parquet(f"{path}/added-2").count() == 0
+    assert store.compact(spark, path) == store.compact(spark, path) == 3 and store.versions(spark, path) == [0, 1, 2, 3] and sorted(r.id for r in store.read(spark, path).collect()) == [1, 2, 3, 4]
+    (tmp_path / "t" / "added-4").mkdir()
+    store.append_new(spark.createDataFrame([(4,), (5,)], "id long"), path, "id", 4)
+    assert sorted(r.id for r in store.read(spark, path).collect()) == [1, 2, 3, 4, 5] and store.compact(spark, str(tmp_path / "none")) is None
