@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.byte_bpe import token_digests
 from ferrule.llm.common import read_table
+from ferrule.llm.divergence import LEAST_DOCUMENTS, MOST_TERMS, SMOOTHING, UNIT, source_divergence
 from ferrule.llm.exact_dedup import exact_groups
 from ferrule.llm.flac import media_column, media_facts
 from ferrule.llm.packing import pack_documents
+from ferrule.llm.pieces import piece_digests
 from ferrule.llm.pii import find_pii
 from ferrule.llm.quality import score_quality
 from ferrule.llm.secret_scan import find_secrets
@@ -63,11 +65,19 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_facts(media_column(read_table(spark, sf_dir, "documents")))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_simhash, op3_sharding, op4_exact_dedup, op5_pii,
-        op6_packing, op7_quality, op8_secret_scan, op9_byte_bpe, op10_flac,
+        op6_packing, op7_quality, op8_secret_scan, op9_byte_bpe, op10_flac, op11_piece_bpe, op13_source_divergence,
     )
 }
 
@@ -93,4 +103,33 @@ ORACLE_SQL = {
             doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window same as (partition by coalesce(text, ''))
     """,
+    "op13_source_divergence": rf"""
+        with docs as (
+            select row_number() over () as row, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents
+        ), words as (
+            select row, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from docs
+        ), kept as (
+            select lang, term from words group by all having count(distinct row) >= {LEAST_DOCUMENTS}
+        ), groups as (select distinct lang, source from docs), cells as (
+            select lang, source, term, count(*) as n from words semi join kept using (lang, term) group by all
+        ), grid as (
+            select g.lang, g.source, k.term, coalesce(c.n, 0)::hugeint as n
+            from groups g join kept k using (lang) left join cells c on c.lang = g.lang and c.source = g.source and c.term = k.term
+        ), whole as (select lang, term, sum(n)::hugeint as n from grid group by all), shares as (
+            select *, 1 + {UNIT} * (n + {SMOOTHING}) // (sum(n) over (partition by lang, source) + {SMOOTHING} * count(*) over (partition by lang, source)) as p from grid
+        ), of_lang as (
+            select lang, term, 1 + {UNIT} * (n + {SMOOTHING}) // (sum(n) over (partition by lang) + {SMOOTHING} * count(*) over (partition by lang)) as q from whole
+        ), pairs as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum(abs(s.p - t.p)), 0)::bigint as value
+            from groups a join groups b on a.lang = b.lang and a.source <> b.source
+            left join shares s on s.lang = a.lang and s.source = a.source left join shares t on t.lang = b.lang and t.source = b.source and t.term = s.term
+            group by all
+        ), terms as (
+            select lang, source, 'term' as part, term as item, (p - q)::bigint as value from shares join of_lang using (lang, term) where n > 0 and p > q
+        ), ranked as (
+            select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (from pairs union all from terms)
+        )
+        select * from ranked where part = 'pair' or rank <= {MOST_TERMS}
+    """,
 }
