@@ -14,6 +14,7 @@ from ferrule.llm.packing import pack_documents
 from ferrule.llm.pieces import piece_digests
 from ferrule.llm.pii import find_pii
 from ferrule.llm.quality import score_quality
+from ferrule.llm.repair import audit_conversations, damaged
 from ferrule.llm.secret_scan import find_secrets
 from ferrule.llm.sharding import extendible_shards
 from ferrule.llm.simhash import near_groups
@@ -69,6 +70,11 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return audit_conversations(damaged(conversations), conversations)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(read_table(spark, sf_dir, "documents"))
 
@@ -77,7 +83,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_simhash, op3_sharding, op4_exact_dedup, op5_pii,
-        op6_packing, op7_quality, op8_secret_scan, op9_byte_bpe, op10_flac, op11_piece_bpe, op13_source_divergence,
+        op6_packing, op7_quality, op8_secret_scan, op9_byte_bpe, op10_flac, op11_piece_bpe,
+        op12_conversation_repair, op13_source_divergence,
     )
 }
 
