@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import cut, unused
-from ferrule.llm.spans import BLOCK, described, located
+from ferrule.llm.spans import BLOCK, blocks, bound, clear_of, described, located
 
 #: Fixed formats, in the order of their spans. Runs are possessive and begin at their first character
 #: or where the last match ended, so that long runs without a match take linear time; matches are the same.
@@ -257,9 +257,8 @@ def chosen(found: Column, model: Model) -> tuple[Column, Column]:
     base = F.filter(found, lambda c: F.coalesce(c["holds"], F.lit(False)))
     score = lambda c: model.score({n: c[n] for n, _ in FEATURES})
     more = F.filter(found, lambda c: c["holds"].isNull() & c["label"].isNull() & (score(c) >= model.threshold))
-    free = F.filter(more, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     bare = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return bare(base), bare(free)
+    return bare(base), clear_of(bare(more), bare(base))
 
 
 def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -298,17 +297,12 @@ SPAN = "struct<start:bigint,end:bigint,kind:string>"
 STRETCH = 64
 
 
-def _blocks(spans: Column, size: int) -> Column:
-    """Consecutive spans in arrays of size."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(spans) - 1) / size), F.lit(0)).cast("int")), lambda b: F.slice(spans, b * size + 1, F.lit(size)))
-
-
 def replaced(text: Column, spans: Column) -> Column:
     """text with each of these sorted spans, which don't overlap and are one or more, replaced by its kind in angle brackets."""
-    blocks = _blocks(spans, STRETCH)
     last = lambda block: F.get(block, F.size(block) - 1)["end"]
-    begin = lambda n: F.when(n == 0, F.lit(0).cast("bigint")).otherwise(last(F.get(blocks, n - 1)))
-    stretches = F.transform(blocks, lambda block, n: F.struct(block.alias("spans"), begin(n).alias("at"), F.substring(text, begin(n) + 1, last(block) - begin(n)).alias("text")))
+    begins = lambda bs: F.slice(F.concat(F.array(F.lit(0).cast("bigint")), F.transform(bs, last)), F.lit(1), F.size(bs))
+    stretch = lambda block, at: F.struct(block.alias("spans"), at.alias("at"), F.substring(text, at + 1, last(block) - at).alias("text"))
+    stretches = bound(blocks(spans, STRETCH), lambda bs: F.zip_with(bs, begins(bs), stretch))
 
     def fill(stretch: Column) -> Column:
         before = lambda i: F.when(i == 0, stretch["at"]).otherwise(F.get(stretch["spans"], i - 1)["end"])
@@ -327,4 +321,4 @@ def _merged(spans: Column) -> Column:
     closed = lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["last"]))
     step = lambda acc, s: F.when(acc["last"]["end"] > s["start"], state(acc["done"], wider(acc["last"], s))).otherwise(state(closed(acc), s.cast(SPAN)))
     block = lambda acc, b: F.aggregate(b, state(none, acc["last"]), step, lambda x: state(F.concat(acc["done"], x["done"]), x["last"]))
-    return F.aggregate(_blocks(spans, BLOCK), state(none, null), block, closed)
+    return F.aggregate(blocks(spans, BLOCK), state(none, null), block, closed)

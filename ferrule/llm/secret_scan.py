@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import cut, join_groups
-from ferrule.llm.spans import described, located
+from ferrule.llm.spans import clear_of, described, located
 
 #: Fixed formats, in the order of their kinds. Runs that are too short to count are not matched at all, as a shorter run within one is
 #: shorter still; the value of an assignment is checked after the match, as a short one hides what follows it.
@@ -65,8 +65,7 @@ def propose(docs: DataFrame, text: str = "text") -> DataFrame:
         none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,hash:string,live:boolean>>")
         spans = F.transform(located(whole, pattern), further(kind))
         more.append(F.when(cheap[kind], spans).otherwise(none) if kind in cheap else spans)
-    free = lambda c: ~F.exists("_base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
-    return rows.withColumn("_more", F.concat(*more)).withColumn("_more", F.filter("_more", free))
+    return rows.withColumn("_more", F.concat(*more)).withColumn("_more", clear_of(F.col("_more"), F.col("_base"), within=True))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
