@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import cut, join_groups, numbered
+from ferrule.llm.common import cut, join_groups, numbered, unused
 
 #: Bits of the hash a directory can use: 15 hexadecimal digits of MD5.
 HASH_BITS = 60
@@ -100,19 +100,22 @@ def write_shards(docs: DataFrame, shards: DataFrame, path: str, key: str = "doc_
 
     Most keys have one shard, in which all their rows go. A key dealt to several parts is large, so there are few; its rows
     of equal bytes are interchangeable, so these are numbered on both sides and the equal numbers meet. A null key equals itself.
+    Folders are named by shard, or shard_ where docs has a column of that name.
     """
+    # columns of docs keep their names: those added here take others, and so does the folders' where docs has a column shard
+    k, folder, last, own, n = (unused(docs, c) for c in ("_key", "shard", "_last", "_row", "_n"))
     name = F.concat_ws("-", "depth", "prefix", "part")
     known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    alike = lambda n: F.concat_ws("/", "_key", n.cast("string")).alias("_alike")
-    placed = shards.select(known("doc_id").alias("_key"), "n_bytes", name.alias("shard"))
-    keys = cut(placed.groupBy("_key").agg(F.min("shard").alias("shard"), F.max("shard").alias("_last")))
-    rows = docs.withColumn("_key", known(key))
-    one = rows.join(keys.where("shard = _last").select("_key", "shard"), "_key").drop("_key")
-    split = F.broadcast(keys.where("shard < _last").select("_key"))
-    dealt = cut(rows.join(split, "_key").withColumn("_row", F.monotonically_increasing_id()))
+    alike = lambda size: F.concat_ws("/", k, size.cast("string")).alias("_alike")
+    placed = shards.select(known("doc_id").alias(k), F.col("n_bytes").alias("_bytes"), name.alias(folder))
+    keys = cut(placed.groupBy(k).agg(F.min(folder).alias(folder), F.max(folder).alias(last)))
+    rows = docs.withColumn(k, known(key))
+    one = rows.join(keys.where(F.col(folder) == F.col(last)).select(k, folder), k).drop(k)
+    split = F.broadcast(keys.where(F.col(folder) < F.col(last)).select(k))
+    dealt = cut(rows.join(split, k).withColumn(own, F.monotonically_increasing_id()))
     n_bytes = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = numbered(dealt.select(alike(n_bytes), "_row"), parts, "_alike", "_row", rank="_n", by="_alike")
-    right = numbered(placed.join(split, "_key").select(alike(F.col("n_bytes")), "shard"), parts, "_alike", "shard", rank="_n", by="_alike")
-    several = dealt.join(left.join(right, ["_alike", "_n"]).select("_row", "shard"), "_row").drop("_key", "_row")
-    one.unionByName(several).repartition("shard").write.partitionBy("shard").parquet(path)
+    left = numbered(dealt.select(alike(n_bytes), own), parts, "_alike", own, rank=n, by="_alike")
+    right = numbered(placed.join(split, k).select(alike(F.col("_bytes")), folder), parts, "_alike", folder, rank=n, by="_alike")
+    several = dealt.join(left.join(right, ["_alike", n]).select(own, folder), own).drop(k, own)
+    one.unionByName(several).repartition(folder).write.partitionBy(folder).parquet(path)

@@ -17,3 +17,14 @@ def test_null_and_repeated_keys(spark, tmp_path):
     for r in found:
         held[r.shard] += len(r.text or "")
     assert dict(held) == want and len([s for s in want if not s.endswith("-0")]) > 4
+
+
+def test_clashing_names(spark, tmp_path):
+    rows = [(i % 7, "t" * (i % 9), f"a{i}", f"b{i}", f"c{i}", f"d{i}", f"e{i}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, _key string, _row string, _alike string, _last string")
+    shards = sharding.extendible_shards(docs, 64)
+    sharding.write_shards(docs, shards, str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.columns == [*docs.columns, "shard_"]
+    assert Counter(map(tuple, found.select(*docs.columns).collect())) == Counter(rows)
+    assert {r.shard_ for r in found.collect()} == {f"{r.depth}-{r.prefix}-{r.part}" for r in shards.collect()}
