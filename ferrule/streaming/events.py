@@ -28,8 +28,7 @@ def states_to_table(states: DataFrame, path: str, keys: list[str], checkpoint: s
     """Merge a stream of collector states into a table, a version for each batch, so that a batch tried again writes the same version."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        known = store.versions(batch.sparkSession, path)
-        if number not in known:
+        if number not in store.versions(batch.sparkSession, path):
             latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), "checked").alias("s")).select("s.*")
             store.upsert_state(latest, path, keys, number)
 
@@ -37,11 +36,10 @@ def states_to_table(states: DataFrame, path: str, keys: list[str], checkpoint: s
 
 
 def observations_to_table(seen: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Add a stream of observations to a table, each key once over all time."""
+    """Add a stream of observations to a table, each key once over all time. Several streams may add to one table; the checkpoint tells them apart."""
 
     def add(batch: DataFrame, number: int) -> None:
-        if number not in store.versions(batch.sparkSession, path):
-            store.append_new(batch, path, "observation_key", number)
+        store.append_new(batch, path, "observation_key", number, writer=checkpoint)
 
     return seen.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
