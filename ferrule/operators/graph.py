@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from ferrule.operators.near_titles import NEAR_HOURS, NEAR_RATIO, Wording, annou
 #: Ranks of source tiers.
 SOURCE_RANKS = {"primary_regulator": 100, "issuer_primary": 95, "authorized_vendor": 80, "discovery": 50}
 OTHER_RANK = 10
+#: Spans of time are counted from here.
+EPOCH = datetime(1970, 1, 1)
 
 
 def source_rank(tier: Column) -> Column:
@@ -49,32 +53,49 @@ def exact_events(seen: DataFrame) -> DataFrame:
 FOLDED = "issuer string, arrival long, event_id long, version int, correction_of long, exact boolean"
 
 
-def fold_events(rows, state=None):
+class Events:
+    """Events of one issuer by exact key and by span of time."""
+
+    def __init__(self):
+        self.keys: dict[str, dict] = {}
+        self.spans: dict[int, list[dict]] = {}
+
+    def with_key(self, key: str) -> dict | None:
+        return self.keys.get(key)
+
+    def within(self, span: int) -> list[dict]:
+        return self.spans.get(span, [])
+
+    def add(self, event: dict) -> None:
+        self.keys[event["event_key"]] = event
+        self.spans.setdefault(span_of(event["published_at"]), []).append(event)
+
+
+def span_of(time) -> int:
+    return int((time - EPOCH).total_seconds() // (NEAR_HOURS * 3600))
+
+
+def fold_events(rows, events=None):
     """Assign observations of one issuer, in order of arrival, to events; rows and the result are lists of dicts.
 
     An observation joins the event with its exact key; else the event published within NEAR_HOURS whose title is nearest,
     at NEAR_RATIO or more, the smallest event among equals. An event keeps its first title and time. A title that announces
-    a correction, or has other numbers under like words, opens the next version of that event instead. state is a
-    list of earlier events, extended in place. An event's id is the arrival of its first observation.
+    a correction, or has other numbers under like words, opens the next version of that event instead. events are
+    earlier ones, to which new ones are added. An event's id is the arrival of its first observation.
     """
-    events = state if state is not None else []
-    by_key, by_time, out = {e["event_key"]: e for e in events}, {}, []
-    spans = lambda r: int(r["published_at"].timestamp() // (NEAR_HOURS * 3600))
-    for e in events:
-        by_time.setdefault(spans(e), []).append(e)
+    events, out = Events() if events is None else events, []
     for r in sorted(rows, key=lambda r: r["arrival"]):
-        event, exact, earlier = by_key.get(r["event_key"]), True, None
-        if event is None:
-            exact, span = False, spans(r)
-            event = nearest(r, [e for s in (span - 1, span, span + 1) for e in by_time.get(s, ())])
+        event, earlier = events.with_key(r["event_key"]), None
+        exact = event is not None
+        if not exact:
+            span = span_of(r["published_at"])
+            event = nearest(r, [e for s in (span - 1, span, span + 1) for e in events.within(s)])
             if event is not None and Wording.of(r["normal_title"]).corrects(Wording.of(event["normal_title"])):
                 event, earlier = None, event
             if event is None:
                 version = earlier["version"] + 1 if earlier else 1
                 event = {k: r[k] for k in ("event_key", "normal_title", "published_at")} | {"event_id": r["arrival"], "version": version, "correction_of": earlier and earlier["event_id"]}
-                events.append(event)
-                by_key[r["event_key"]] = event
-                by_time.setdefault(span, []).append(event)
+                events.add(event)
         out.append({"issuer": r["issuer"], "arrival": r["arrival"], "event_id": event["event_id"], "version": event["version"], "correction_of": event["correction_of"], "exact": exact})
     return out
 
