@@ -16,7 +16,7 @@ from ferrule.llm.common import cut
 #: Documents of its language that a term must occur in, what is added to each count, the whole of a distribution, and terms reported for each group.
 LEAST_DOCUMENTS, SMOOTHING, UNIT, MOST_TERMS = 30, 5, 1_000_000_000, 50
 #: Cells of a block, groups times terms, and bytes of texts that are counted at a time.
-BLOCK_CELLS, BATCH_BYTES = 1 << 18, 16 << 20
+BLOCK_CELLS, BATCH_BYTES = 1 << 16, 16 << 20
 #: Cells of what is broadcast at a time within a block.
 PAIR_CELLS = 1 << 22
 
