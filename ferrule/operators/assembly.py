@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.functions.joins import sized, unused
 from ferrule.functions.keys import iso_utc, prefixed
 from ferrule.functions.text import sanitize_warning
 from ferrule.operators.quality import mapped, warnings
@@ -42,20 +43,33 @@ def ticker(text: Column) -> Column:
 def by_ticker(rows: DataFrame, registry: DataFrame, name: str = "ticker") -> DataFrame:
     """rows with the registry's row of their ticker, else of the ticker with dashes for dots; rows without one have nulls.
 
-    registry: one row per ticker. The keys of both tries are exploded, so each side is shuffled once; the first try wins.
+    registry: one row per ticker. It is measured and broadcast if small, so that a ticker that most rows ask for stays where its rows are;
+    a larger one is joined by a shuffle. Columns of rows keep their names and kinds.
     """
     fields = [c for c in registry.columns if c != name]
-    row = F.monotonically_increasing_id()
-    tries = rows.withColumn("_row", row).withColumn("_try", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col(name).alias("t")), F.struct(F.lit(1).alias("n"), F.replace(name, F.lit("."), F.lit("-")).alias("t")))))
-    known = registry.select(F.col(name).alias("_ticker"), F.struct(*fields).alias("_found"))
-    met = tries.join(known, F.col("_try.t") == F.col("_ticker"), "left").groupBy("_row", *rows.columns).agg(F.min_by("_found", F.when(F.col("_ticker").isNotNull(), F.col("_try.n"))).alias("_found"))
-    return met.select(*rows.columns, *(F.col(f"_found.{c}").alias(c) for c in fields))
+    known = sized(registry.select(name, F.struct(F.lit(True).alias("_met"), *fields).alias("_found")))
+    first, second, one, two = (unused(rows, c) for c in ("_first", "_second", "_one", "_two"))
+    tried = rows.withColumns({one: F.col(name), two: F.replace(name, F.lit("."), F.lit("-"))})
+    for key, to in ((one, first), (two, second)):
+        side = known.select(F.col(name).alias(f"{key}known"), F.col("_found").alias(to))
+        tried = tried.join(side, F.col(key) == F.col(f"{key}known"), "left")
+    found = lambda c: F.when(F.col(f"{first}._met"), F.col(f"{first}.{c}")).otherwise(F.col(f"{second}.{c}")).alias(c)
+    return tried.select(*rows.columns, *map(found, fields))
+
+
+#: Collectors that requests are dealt to at most.
+MOST_COLLECTORS = 1000
 
 
 def supported(requests: DataFrame, collectors: DataFrame, limited: DataFrame) -> DataFrame:
     """requests (request_id, ticker) with the collectors that serve them: collectors (provider, family, limited), where limited ones serve only
-    the tickers of limited (provider, ticker). collectors is a short list, so it is broadcast."""
-    both = requests.crossJoin(F.broadcast(collectors))
+    the tickers of limited (provider, ticker). collectors is a configured list of MOST_COLLECTORS at most; a longer one is refused."""
+    listed = collectors.select("provider", "family", "limited").limit(MOST_COLLECTORS + 1).collect()
+    if len(listed) > MOST_COLLECTORS:
+        raise ValueError(f"more than {MOST_COLLECTORS} collectors")
+    kind = "array<struct<provider:string,family:string,limited:boolean>>"
+    each = F.array(*(F.struct(F.lit(c.provider).alias("provider"), F.lit(c.family).alias("family"), F.lit(c.limited).alias("limited")) for c in listed)).cast(kind)
+    both = requests.withColumn("_c", F.explode(each)).select(*requests.columns, "_c.*")
     served = limited.select("provider", "ticker").distinct()
     return both.where(~F.col("limited")).unionByName(both.where("limited").join(served, ["provider", "ticker"], "left_semi"))
 

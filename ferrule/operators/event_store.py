@@ -94,19 +94,27 @@ def event_views(tables: EventTables, source_id: str | None = None, fits: Column
     rows = tables.links.join(tables.observations, "observation_id").withColumn("_fits", F.lit(True) if fits is None else F.coalesce(fits, F.lit(False)))
     of_source = F.lit(True) if source_id is None else F.col("source_id") == source_id
     order = F.struct(-F.col("rank"), F.col("observation_id")) if source_id is None else F.struct(F.col("observation_id"))
-    entry = F.struct((-F.col("rank")).alias("rank"), "observation_id", "canonical_url", (of_source & ~F.col("_fits") & F.lit(source_id is not None)).alias("hidden"))
+    hidden = of_source & ~F.col("_fits") & F.lit(source_id is not None)
     found = rows.groupBy("event_id").agg(
         F.min_by("observation_id", F.when(of_source & F.col("_fits"), order)).alias("primary_id"),
         F.min_by("source_id", F.when(of_source & F.col("_fits"), order)).alias("primary_source"),
-        F.array_sort(F.collect_list(entry)).alias("_all"),
         F.array_sort(F.collect_set("tier")).alias("tiers"),
     )
-    related = F.transform(F.slice(F.filter("_all", lambda e: (e["observation_id"] != F.col("primary_id")) & ~e["hidden"]), 1, MOST_RELATED), lambda e: e["canonical_url"])
-    support = tables.claim_sources.groupBy("claim_id").agg(F.count("*").alias("source_count"), F.array_sort(F.collect_list(F.struct("relation_id", "source_reference_id"))).alias("_support"))
-    viewed = found.where("primary_id is not null").withColumn("related_urls", related).drop("_all")
+    entry = F.struct((-F.col("rank")).alias("rank"), "observation_id", "canonical_url")
+    others = _first_of(rows.where(~hidden), "event_id", entry, MOST_RELATED + 1).withColumnRenamed("first", "_others")  # the primary may be among them
+    ids = _first_of(tables.claim_sources, "claim_id", F.struct("relation_id", "source_reference_id"), MOST_RELATED).withColumnRenamed("first", "_support")
+    support = tables.claim_sources.groupBy("claim_id").agg(F.count("*").alias("source_count")).join(ids, "claim_id")
+    related = F.transform(F.slice(F.filter("_others", lambda e: e["observation_id"] != F.col("primary_id")), 1, MOST_RELATED), lambda e: e["canonical_url"])
+    viewed = found.where("primary_id is not null").join(others, "event_id").withColumn("related_urls", related).drop("_others")
     viewed = viewed.join(tables.events.select("event_id", "issuer"), "event_id").join(tables.claims, "event_id").join(support, "claim_id")
-    ids = F.transform(F.slice("_support", 1, MOST_RELATED), lambda s: s["source_reference_id"])
-    return viewed.withColumn("supporting_ids", ids).withColumn("truncated", F.col("source_count") > MOST_RELATED).drop("_support")
+    supporting = F.transform("_support", lambda s: s["source_reference_id"])
+    return viewed.withColumn("supporting_ids", supporting).withColumn("truncated", F.col("source_count") > MOST_RELATED).drop("_support")
+
+
+def _first_of(rows: DataFrame, key: str, entry: Column, most: int) -> DataFrame:
+    """(key, first): the least entries of each key in order. Tasks keep no more of a key than most before rows are shuffled, so a hot key leaves few."""
+    placed = rows.select(key, entry.alias("_e")).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_e")))
+    return placed.where(F.col("_n") <= most).groupBy(key).agg(F.array_sort(F.collect_list("_e")).alias("first"))
 
 
 def audits(rows: DataFrame, issuer: str | None = None, since: Column | None = None, accepted: bool | None = None, most: int = MOST_AUDITS, ident: str = "id") -> DataFrame:

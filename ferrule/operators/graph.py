@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions.durable import durable
+from ferrule.functions.joins import numbered, unused
 from ferrule.functions.keys import hash_key, prefixed
 from ferrule.functions.text import normalize_title, token_set_ratio
 from ferrule.functions.urls import canonical_url
@@ -256,12 +257,13 @@ def _versions(events: DataFrame) -> DataFrame:
 
 
 def claim_pages(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
-    """rows with page, from 1, and next_cursor, the last order of a page that another follows: keyset pages of every key at once."""
-    by = Window.partitionBy(key)
-    placed = rows.withColumn("_n", F.row_number().over(by.orderBy(order))).withColumn("_all", F.count("*").over(by))
-    page = F.floor((F.col("_n") - 1) / size) + 1
-    last = (F.col("_n") % size == 0) & (F.col("_n") < F.col("_all"))
-    return placed.withColumn("page", page.cast("long")).withColumn("next_cursor", F.when(last, F.col(order))).drop("_n", "_all")
+    """rows with page, from 1, and next_cursor, the last order of a page that another follows: keyset pages of every key at once.
+    A key with a third of all rows is numbered by many tasks; order is unique within a key."""
+    n, whole = unused(rows, "_n"), unused(rows, "_all")
+    placed = numbered(rows, key, order, n, whole)
+    page = F.floor((F.col(n) - 1) / size) + 1
+    last = (F.col(n) % size == 0) & (F.col(n) < F.col(whole))
+    return placed.withColumn("page", page.cast("long")).withColumn("next_cursor", F.when(last, F.col(order))).drop(n, whole)
 
 
 def page_after(rows: DataFrame, claim: str, cursor: int, limit: int, order: str = "relation_id", key: str = "claim_id") -> DataFrame:

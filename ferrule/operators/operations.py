@@ -26,11 +26,33 @@ def observation_ids(records: DataFrame, *parts: str) -> DataFrame:
 def order_free_digest(records: DataFrame, by: list[str], line: Column, ident: str) -> DataFrame:
     """(by, lines, digest): the hash of a group's lines, sorted by identifier, whatever order they came in.
 
-    Each line is reduced to its hash before groups are formed, so a group moves 32 bytes a line.
+    Each line is reduced to its hash before groups are formed, so a group moves 32 bytes a line; a group's lines are sorted by Spark and read one after another, never held together.
     """
-    each = records.select(*by, F.struct(F.col(ident).alias("i"), F.sha2(line, 256).alias("h")).alias("e"))
-    found = each.groupBy(*by).agg(F.array_sort(F.collect_list("e")).alias("e"))
-    return found.select(*by, F.size("e").cast("long").alias("lines"), F.sha2(F.array_join(F.transform("e", lambda x: x["h"]), "\n"), 256).alias("digest"))
+    each = records.select(*by, F.col(ident).alias("_ident"), F.sha2(line, 256).alias("_hash"))
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        now, digest, lines, kinds, between = None, hashlib.sha256(), 0, None, b""
+        row = lambda: pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(now, kinds)), pa.array([lines], pa.int64()), pa.array([digest.hexdigest()])], names=[*by, "lines", "digest"])
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in by]
+            for key, value in zip(zip(*(batch.column(c).to_pylist() for c in by)), batch.column("_hash").to_pylist()):
+                if key != now:
+                    if now is not None:
+                        yield row()
+                    now, digest, lines, between = key, hashlib.sha256(), 0, b""
+                if value is not None:  # a null line has no hash, but counts
+                    digest.update(between + value.encode())
+                    between = b"\n"
+                lines += 1
+        if now is not None:
+            yield row()
+
+    kinds = ", ".join(f"`{c}` {each.schema[c].dataType.simpleString()}" for c in by)
+    return each.repartition(*by).sortWithinPartitions(*by, "_ident", "_hash").mapInArrow(run, f"{kinds}, lines long, digest string")
 
 
 def gates_passed(checks: DataFrame, required: DataFrame) -> DataFrame:

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.functions.joins import sized
 from ferrule.functions.keys import hash_key
 from ferrule.functions.text import has_phrase, normalize_entity
 from ferrule.functions.urls import host, host_suffixes
 
 #: Texts give a row for each run of words up to this; a longer alias is met by its first words, then whole.
 ALIAS_WORDS = 4
-#: Bytes of a file of reviewed rules.
-MOST_RULE_BYTES = 256 * 1024
 #: Quality of a publisher that nobody has reviewed.
 UNREVIEWED = 0.60
 
@@ -29,8 +28,8 @@ def match_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """A row for each text and rule whose alias stands in it as whole words, with the required and negative terms it holds.
 
     texts: text_id, text and others. Runs of words of each text are joined with aliases by equality, so no
-    pair of text and rule is formed but those that match, or hold the first ALIAS_WORDS words of a longer alias. The rules are a reviewed list whose file may not exceed
-    MOST_RULE_BYTES, so they are broadcast; bodies are joined to the few pairs that match.
+    pair of text and rule is formed but those that match, or hold the first ALIAS_WORDS words of a longer alias. Rules are measured: up to BROADCAST_BYTES they are
+    broadcast, more are joined by a shuffle. Bodies are joined to the few pairs that match.
     """
     words = F.split("body", " ")
     n, runs = F.size(words), [words]
@@ -40,7 +39,7 @@ def match_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
     bodies = texts.withColumn("body", normalize_entity(F.col("text"))).where("body <> ''").drop("text")
     keyed = bodies.select("text_id", F.explode(F.array_distinct(F.concat(*runs))).alias("_head"))
     headed = prepared(rules).withColumn("_head", F.substring_index("alias_text", " ", ALIAS_WORDS))
-    named = keyed.join(F.broadcast(headed), "_head")
+    named = keyed.join(sized(headed), "_head")
     matched = named.join(bodies, "text_id").where((F.col("_head") == F.col("alias_text")) | has_phrase(F.col("body"), F.col("alias_text"))).drop("_head")
     held = lambda c: F.filter(c, lambda t: has_phrase(F.col("body"), t))
     return matched.withColumn("required_met", held(F.col("required"))).withColumn("negative_met", held(F.col("negative")))

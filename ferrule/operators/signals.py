@@ -39,11 +39,11 @@ def insider_clusters(trades: DataFrame, as_of: Column, lookback_days: int) -> Da
     rows = rows.where(~F.col("derivative") & sided & (F.col("shares") > 0) & (F.col("price") > 0))
     value = F.col("shares") * F.col("price") * F.when(F.col("code") == "S", -1).otherwise(1)
     now = F.col("window") == "current"
-    who = lambda code, more=F.lit(True): F.size(F.collect_set(F.when(now & (F.col("code") == code) & more, F.col("owner"))))
+    who = lambda code, more=F.lit(True): F.countDistinct(F.when(now & (F.col("code") == code) & more, F.col("owner"))).cast("int")
     found = rows.groupBy("issuer").agg(
         _sum("current", value).alias("net"), _sum("prior", value).alias("prior_net"), who("P").alias("buyers"), who("S").alias("sellers"),
         who("S", ~F.col("planned")).alias("unplanned"), F.max(now & (F.col("code") == "S") & F.col("planned")).alias("any_planned"),
-        F.max(F.when(now, F.col("ts"))).alias("latest"), F.size(F.collect_set(F.when(now, F.col("url")))).alias("source_count"),
+        F.max(F.when(now, F.col("ts"))).alias("latest"), F.countDistinct(F.when(now, F.col("url"))).cast("int").alias("source_count"),
     ).where("latest is not null")
     kind = F.when(F.col("net") > 0, "purchase").when(F.col("net") < 0, "sale").otherwise("mixed")
     owners = F.when(F.col("net") > 0, F.col("buyers")).when(F.col("net") < 0, F.col("sellers")).otherwise(0)
@@ -72,7 +72,7 @@ def vendor_insider(trades: DataFrame, as_of: Column, lookback_days: int) -> Data
     rows = rows.where("side is not null and window is not null and shares > 0 and price > 0")
     value = F.col("shares") * F.col("price") * F.col("side")
     now = F.col("window") == "current"
-    people = lambda s: F.size(F.collect_set(F.when(now & (F.col("side") == s), F.col("person"))))
+    people = lambda s: F.countDistinct(F.when(now & (F.col("side") == s), F.col("person"))).cast("int")
     found = rows.groupBy("issuer").agg(
         _sum("current", value).alias("net"), _sum("prior", value).alias("prior_net"), people(1).alias("buyers"), people(-1).alias("sellers"),
         F.coalesce(F.max(now & (F.col("side") == -1) & F.col("planned")), F.lit(False)).alias("planned"), F.max(F.when(now, F.col("ts"))).alias("latest"),
@@ -212,7 +212,6 @@ def attention_change(posts: DataFrame, coverage: DataFrame, last_day: Column, da
 
 def retracted(hashes: DataFrame) -> DataFrame:
     """(issuer, day, missing): of each day's hashes how many the next check of that day no longer shows. hashes: issuer, day, check, hash."""
-    last = Window.partitionBy("issuer", "day")
-    rows = hashes.withColumn("_last", F.max("check").over(last))
-    by = rows.groupBy("issuer", "day").agg(F.collect_set(F.when(F.col("check") < F.col("_last"), F.col("hash"))).alias("before"), F.collect_set(F.when(F.col("check") == F.col("_last"), F.col("hash"))).alias("now"))
-    return by.select("issuer", "day", F.size(F.array_except("before", "now")).cast("long").alias("missing"))
+    seen = hashes.groupBy("issuer", "day", "hash").agg(F.max("check").alias("last"))
+    by_last = seen.groupBy("issuer", "day", "last").agg(F.count("hash").alias("n"))  # those last seen in the day's last check are still there
+    return by_last.groupBy("issuer", "day").agg((F.sum("n") - F.max_by("n", "last")).alias("missing"))

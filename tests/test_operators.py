@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import documents, evidence, graph, operations, quality, redact, resolve, score, signals
+from ferrule.operators import assembly, documents, evidence, graph, operations, quality, redact, resolve, score, signals
 
 NOW = datetime(2026, 7, 12, 16)
 EVIDENCE = "request_id long, ordinal long, family string, signal string, direction string, strength double, confidence double, quality double, ts timestamp_ntz, source_url string"
@@ -205,3 +205,48 @@ def test_synthesis(spark):
     assert one.next_checks[0].startswith("Verify each Form 4") and one.next_checks[1].startswith("Compare the correction") and len(one.next_checks) == 5
     assert two.headline == synthesis.EMPTY_HEADLINE and two.next_checks[0] == synthesis.CHECK_WIDER and len(two.next_checks) == 3
     assert three.next_checks == [synthesis.CHECK_OPEN, synthesis.CHECK_IDENTITY]
+
+
+def test_numbers_of_a_hot_key_come_from_many_tasks(spark):
+    from ferrule.functions.joins import numbered
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 > 0, 1).when(F.col("id") > 100, F.col("id") % 5 + 2).alias("k"), (F.col("id") * 7919 % 4000).alias("o"), F.lit("x").alias("_part"))
+    found = numbered(rows.repartition(7), "k", "o", "n", "whole").collect()
+    held = {}
+    for r in found:
+        held.setdefault(r.k, []).append((r.o, r.n, r.whole))
+    assert len(found) == 4000
+    for rows_of in held.values():
+        rows_of.sort()
+        assert [n for _, n, _ in rows_of] == list(range(1, len(rows_of) + 1)) and {w for _, _, w in rows_of} == {len(rows_of)}
+
+
+def test_tickers_of_a_large_or_small_registry_keep_columns(spark, monkeypatch):
+    from ferrule.functions import joins
+
+    rows = spark.createDataFrame([(i, t, {"a": i}) for i, t in enumerate(["A", "B.X", "B-X", "none", None, "A"])], "_row int, ticker string, _try map<string,int>")
+    registry = spark.createDataFrame([("A", 1, None), ("B-X", 2, "bx")], "ticker string, cik int, name string")
+    want = [(0, 1, None), (1, 2, "bx"), (2, 2, "bx"), (3, None, None), (4, None, None), (5, 1, None)]
+    for most in (joins.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(joins.sized, "__defaults__", (most,))
+        found = assembly.by_ticker(rows, registry)
+        assert found.columns == ["_row", "ticker", "_try", "cik", "name"]
+        assert sorted((r._row, r.cik, r.name) for r in found.collect()) == want
+
+
+def test_a_long_list_of_collectors_is_refused(spark):
+    asked = spark.createDataFrame([(1, "A")], "request_id long, ticker string")
+    collectors = spark.range(assembly.MOST_COLLECTORS + 1).select(F.col("id").cast("string").alias("provider"), F.lit("f").alias("family"), F.lit(False).alias("limited"))
+    limited = spark.createDataFrame([], "provider string, ticker string")
+    with pytest.raises(ValueError, match="collectors"):
+        assembly.supported(asked, collectors, limited)
+    assert assembly.supported(asked, collectors.limit(3), limited).count() == 3
+
+
+def test_digests_are_read_one_line_after_another(spark):
+    import hashlib
+
+    rows = [("a", 3, "z"), ("a", 1, "x"), (None, 2, "y"), ("b", 1, None), ("b", 2, "q")]
+    found = {r.g: (r.lines, r.digest) for r in operations.order_free_digest(spark.createDataFrame(rows, "g string, i long, t string"), ["g"], F.col("t"), "i").collect()}
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert found == {"a": (2, h(h("x") + "\n" + h("z"))), None: (1, h(h("y"))), "b": (2, h(h("q")))}
