@@ -7,9 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.functions.arrays import bound
+from ferrule.operators.collectors import ITEM_PRIORITY
+
 #: Characters around a match in which an exclusion counts.
 NEAR = 240
 
+#: The version of the rules, the bytes of a document that is read, and what each rule says of its event.
+RULESET_VERSION, RULE_VERSION, MOST_DOCUMENT_BYTES = "sec-primary-document-v1", "1", 2_000_000
+RULE_CONTEXT = {
+    "equity_distribution_agreement": ("Equity distribution agreement", "An at-the-market or similar equity distribution program can change share count, financing capacity, and potential dilution.", "material"),
+    "share_repurchase_activity": ("Share repurchase activity", "Actual or newly disclosed repurchase activity changes outstanding capital and the issuer's use of cash.", "material"),
+    "completed_debt_offering": ("Debt offering", "A completed debt offering changes liquidity, leverage, interest expense, and future repayment obligations.", "material"),
+    "filed_prospectus_supplement": ("Securities offering update", "A prospectus supplement can establish or update the terms and capacity for a securities offering.", "material"),
+}
 #: Rule, priority, event type, whether it is generic, patterns, exclusions.
 DOCUMENT_RULES = (
     ("equity_distribution_agreement", 20, "equity_distribution", False,
@@ -28,8 +39,7 @@ DOCUMENT_RULES = (
      (r"\b(?:filed|is filing|has filed)\b.{0,100}\bprospectus supplement\b",),
      (r"\b(?:did not|has not|have not|had not|will not)\b.{0,80}\bfil(?:e|ed|ing)\b.{0,100}\bprospectus supplement\b", r"\bpreviously filed\b.{0,100}\bprospectus supplement\b")),
 )
-#: Item codes by priority, and those that are adverse.
-ITEM_PRIORITY = ("1.03", "2.04", "4.02", "3.01", "2.01", "2.02", "2.03", "2.05", "2.06", "1.01", "1.02", "3.02", "3.03", "4.01", "5.02", "5.03", "5.07", "7.01", "8.01", "9.01")
+#: Adverse item codes.
 ADVERSE_ITEMS = {"1.03": "bankruptcy", "3.01": "delisting", "4.02": "restatement"}
 
 
@@ -43,18 +53,29 @@ def html_text(html: Column) -> Column:
 def _holds(text: Column, patterns: tuple[str, ...], exclusions: tuple[str, ...]) -> Column:
     """Whether a pattern matches without an exclusion within NEAR characters of that match.
 
-    The text is split at the matches, so a match's surroundings are the ends of what lies between: the last NEAR
-    characters before it, the match, and the first NEAR after it.
+    The text is split at the matches, so a match's surroundings are the ends of what lies between. Each match and what lies before it has a character
+    at least, so NEAR of them on either side hold all that is near, and time grows with the matches.
     """
     found = []
     for pattern in patterns:
         whole = f"(?i){pattern}"
-        matches, gaps = F.regexp_extract_all(text, F.lit(whole), F.lit(0)), F.split(text, whole, -1)
-        pairs = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), F.sequence(F.lit(1), F.greatest(F.size(matches), F.lit(1))), lambda p, i: F.struct(p["g"].alias("g"), p["m"].alias("m"), i.alias("i")))
-        start = lambda i: F.aggregate(F.slice(gaps, 1, i), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(matches, 1, i - 1), F.lit(0), lambda a, m: a + F.length(m))
-        near = lambda p: F.substring(text, F.greatest(start(p["i"]) - NEAR, F.lit(0)) + 1, F.least(start(p["i"]), F.lit(NEAR)) + F.length(p["m"]) + NEAR)
-        clean = lambda p: ~reduce(lambda a, b: a | b, (near(p).rlike(f"(?i){e}") for e in exclusions))
-        found.append(F.when(F.size(matches) > 0, F.exists(pairs, clean)).otherwise(False))
+
+        def clean(pieces: Column) -> Column:
+            matches, gaps = pieces["matches"], pieces["gaps"]
+            before = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.concat(F.right(g, F.lit(NEAR)), m))
+            after = F.zip_with(F.slice(gaps, F.lit(2), F.size(matches)), matches, lambda g, m: F.concat(m, F.left(g, F.lit(NEAR))))
+
+            def surrounded(sides: Column) -> Column:
+                left = lambda i: F.concat(F.array_join(F.slice(sides["before"], F.greatest(i + 1 - NEAR, F.lit(1)), F.least(i, F.lit(NEAR))), ""), F.right(F.get(gaps, i), F.lit(NEAR)))
+                right = lambda i: F.concat(F.left(F.get(gaps, i + 1), F.lit(NEAR)), F.array_join(F.slice(sides["after"], i + 2, F.lit(NEAR)), ""))
+                near = lambda m, i: F.concat(F.right(left(i), F.lit(NEAR)), m, F.left(right(i), F.lit(NEAR)))
+                free = lambda near: ~reduce(lambda x, y: x | y, (near.rlike(f"(?i){e}") for e in exclusions))
+                return F.exists(F.transform(matches, near), free)
+
+            return bound(F.struct(before.alias("before"), after.alias("after")), surrounded)
+
+        met = bound(F.regexp_extract_all(text, F.lit(whole), F.lit(0)), lambda m: F.when(F.size(m) > 0, F.struct(m.alias("matches"), F.split(text, whole, -1).alias("gaps"))))
+        found.append(bound(met, lambda p: F.coalesce(clean(p), F.lit(False))))
     return reduce(lambda a, b: a | b, found)
 
 
