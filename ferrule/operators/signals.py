@@ -27,17 +27,19 @@ def _sum(window: str, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(F.col("window") == window, value)), F.lit(0.0))
 
 
-def insider_clusters(trades: DataFrame, as_of: Column, lookback_days: int) -> DataFrame:
+def insider_clusters(trades: DataFrame, as_of: Column, lookback_days: int, counted: Column | None = None) -> DataFrame:
     """One signal for each issuer with qualifying trades in the current half.
 
     trades: issuer, owner, code, acquired_disposed, derivative, planned, shares, price, ts, url. A trade qualifies if it is no
     derivative, a purchase acquired or a sale disposed, with shares and a price. Owners in the direction of the net value
-    make the cluster; planned sales weaken a bearish one. All is one aggregation with partial sums; distinct owners are exact.
+    make the cluster; planned sales weaken a bearish one. All is one aggregation with partial sums; distinct owners are exact. Where a trade has a row for each of its
+    owners, counted says which of these its value counts in.
     """
     sided = ((F.col("code") == "P") & (F.col("acquired_disposed") == "A")) | ((F.col("code") == "S") & (F.col("acquired_disposed") == "D"))
     rows = trades.withColumn("window", window_of(F.col("ts"), as_of, lookback_days, True)).where("window is not null")
     rows = rows.where(~F.col("derivative") & sided & (F.col("shares") > 0) & (F.col("price") > 0))
     value = F.col("shares") * F.col("price") * F.when(F.col("code") == "S", -1).otherwise(1)
+    value = value if counted is None else F.when(counted, value).otherwise(0.0)
     now = F.col("window") == "current"
     who = lambda code, more=F.lit(True): F.countDistinct(F.when(now & (F.col("code") == code) & more, F.col("owner"))).cast("int")
     found = rows.groupBy("issuer").agg(

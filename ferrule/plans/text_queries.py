@@ -148,12 +148,6 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(body, 256).alias("body_sha"), F.length(body).cast("long").alias("n"))
 
 
-@query()
-def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings built around phrases of the rules, one for each document."""
-    return documents.classify(documents.sample_filings(table(spark, sf_dir, "documents")))
-
-
 def _observations(spark: SparkSession, sf_dir: str, title: Column) -> DataFrame:
     """A document is an observation of its language's issuer."""
     tier = F.element_at(F.array(*map(F.lit, ("discovery", "authorized_vendor", "issuer_primary", "primary_regulator", "other"))), (F.col("doc_id") % 5 + 1).cast("int"))
