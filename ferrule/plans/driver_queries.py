@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrule.operators import documents, drivers
 from ferrule.plans.collector_queries import _FORMS, _ITEMS
-from ferrule.plans.inputs import table
+from ferrule.plans.inputs import ORDERS_AS_OF, as_of, table
 from ferrule.plans.registry import query
 from ferrule.plans.source_queries import _tag
 
@@ -152,3 +152,61 @@ def _fund_reports(spark: SparkSession, sf_dir: str) -> drivers.Collected:
     from asked left join told using (ticker)""")
 def fund_collector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(_fund_reports(spark, sf_dir))
+
+
+INSIDER_LOOKBACK = 730
+
+
+def _insiders(spark: SparkSession, sf_dir: str) -> drivers.Collected:
+    """An order is an ownership filing of its customer, its lines are the trades; every fourth is a notice of a proposed sale, every eleventh entry names no document. Every other has a second owner."""
+    o = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(
+        o.alias("o"), "o_custkey", _cik("o_custkey").alias("cik"), F.col("o_orderdate").alias("ts"), pick(("4", "144", "4/A", "4"), o).alias("form"), F.lit("").alias("codes"),
+        F.concat(F.lit("a-"), o).alias("accession"), F.when(o % 11 == 0, "").otherwise(F.concat(F.lit("d"), o, F.lit(".xml"))).alias("document"),
+    )
+    value = lambda name, x: _tag(name, _tag("value", x))
+    sold = F.col("l_returnflag") == "R"
+    amounts = _tag("transactionAmounts", value("transactionShares", F.col("l_quantity").cast("string")), value("transactionPricePerShare", F.col("l_extendedprice").cast("string")), value("transactionAcquiredDisposedCode", F.when(sold, "D").otherwise("A")))
+    trade = _tag("nonDerivativeTransaction", value("transactionDate", F.date_format("l_shipdate", "yyyy-MM-dd")), _tag("transactionCoding", _tag("transactionCode", F.when(sold, "S").otherwise("P"))), amounts)
+    held = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_join(F.array_sort(F.collect_list(trade)), "").alias("trades"))
+    owner = lambda name: _tag("reportingOwner", _tag("reportingOwnerId", _tag("rptOwnerName", name)))
+    second = F.when(F.col("o") % 2 == 1, owner("Owner 9")).otherwise("")
+    xml = _tag("ownershipDocument", _tag("documentType", F.col("form")), owner(F.concat(F.lit("Owner "), F.col("o") % 3)), second, _tag("nonDerivativeTable", F.coalesce("trades", F.lit(""))))
+    url = F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), "o_custkey", F.lit("/a"), "o", F.lit("/d"), "o", F.lit(".xml"))
+    landed = orders.where("document <> ''").join(held, "o", "left").select(url.alias("url"), xml.alias("xml"))
+    return drivers.collect_insiders(*_asked(spark, sf_dir), _submissions(orders), landed, as_of(ORDERS_AS_OF), INSIDER_LOOKBACK)
+
+
+INSIDERS_SQL = f"""with asked as (select 'C' || c_custkey as ticker, c_custkey as k, case when c_custkey % 10 = 0 then 'fund' when c_custkey % 10 = 1 then 'unresolved' else 'company' end as lane from customer),
+    entries as (select ticker, o_orderkey as o, ['4', '144', '4/A', '4'][1 + o_orderkey % 4] as form, row_number() over (partition by o_custkey order by o_orderdate::date desc, o_orderkey) as place, o_orderdate::date as ts from orders join asked on k = o_custkey
+        where lane = 'company'),
+    recent as (select * from entries where ts >= timestamp '{ORDERS_AS_OF}' - to_days({INSIDER_LOOKBACK})), planned as (select * from recent where o % 11 <> 0),
+    trades as (select ticker, o, case l_returnflag when 'R' then 'S' else 'P' end as code, l_quantity * l_extendedprice * case l_returnflag when 'R' then -1 else 1 end as value, case when o % 2 = 1 then ['Owner ' || o % 3, 'Owner 9'] else ['Owner ' || o % 3] end as names,
+        case when l_shipdate::date >= timestamp '{ORDERS_AS_OF}' - to_days({INSIDER_LOOKBACK // 2}) then 'current' when l_shipdate::date >= timestamp '{ORDERS_AS_OF}' - to_days({INSIDER_LOOKBACK}) then 'prior' end as w
+        from planned join lineitem on l_orderkey = o where form <> '144'),
+    summed as (select ticker, coalesce(sum(value) filter (w = 'current'), 0) as net, coalesce(sum(value) filter (w = 'prior'), 0) as prior_net, count(distinct o) filter (w = 'current') as source_count,
+        len(list_distinct(flatten(list(names) filter (w = 'current' and code = 'P')))) as buyers, len(list_distinct(flatten(list(names) filter (w = 'current' and code = 'S')))) as sellers from trades where w is not null group by 1 having source_count > 0),
+    sized as (select *, coalesce(case when net > 0 then buyers when net < 0 then sellers else 0 end, 0)::int as owners, coalesce(sellers, 0) as unplanned from summed),
+    evidence as (
+        select ticker, 'insider_' || case when net > 0 then 'purchase' when net < 0 then 'sale' else 'mixed' end || case when owners >= 3 then '_strong_cluster' when owners >= 2 then '_cluster' else '_activity' end as signal,
+            case when net > 0 then 'bullish' when net < 0 then 'bearish' else 'neutral' end as direction, round(least(1.0, 0.45::double + 0.12::double * owners), 6) as strength,
+            case when net < 0 then case when unplanned >= 3 then 0.72 when unplanned >= 2 then 0.66 else 0.52 end else case when owners >= 3 then 0.88 when owners >= 2 then 0.82 else 0.68 end end::double as confidence,
+            case when prior_net = 0 then 'new_activity' when (net > 0) <> (prior_net > 0) then 'direction_reversal' when abs(net) > abs(prior_net) then 'increased' else 'decreased' end as novelty,
+            owners, round(net, 2) as net, source_count::int as source_count, null::varchar as accession from sized
+        union all select ticker, 'insider_proposed_sale', 'neutral', null, null, 'new_event', null, null, 1, 'a-' || o from planned where form = '144')"""
+
+
+@query(f"{INSIDERS_SQL} select * from evidence")
+def insider_collector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _insiders(spark, sf_dir).evidence
+    return found.select("ticker", "signal", "direction", F.round("strength", 6).alias("strength"), "confidence", "novelty", "owners", F.round("net", 2).alias("net"), "source_count", "accession")
+
+
+@query(f"""{INSIDERS_SQL}, omitted as (select ticker, list('SEC ' || form || ' entry omitted accession or primary document.' order by place) as warnings from recent where o % 11 = 0 group by 1), counted as (select ticker, count(*) as items from evidence group by 1)
+    select ticker, case when lane = 'fund' then 'unsupported' when items > 0 then 'fresh' else 'no_observations' end as status, coalesce(items, 0) as items,
+        case when lane = 'fund' then [ticker || ' is a reviewed fund; corporate-insider semantics were skipped.'] when lane = 'unresolved' then ['SEC has no CIK for ' || ticker || ' in its mapping or company search.']
+            else coalesce(warnings, []::varchar[]) || case when items is null then ['No qualifying direct SEC insider activity found for ' || ticker || '.'] else []::varchar[] end end as warnings,
+        case lane when 'fund' then ['source_unsupported:family:insider_trading:fund_has_no_corporate_insider_semantics'] when 'unresolved' then ['entity_rejected:evaluation:' || ticker || ':cik_unresolved'] else []::varchar[] end as reasons
+    from asked left join counted using (ticker) left join omitted using (ticker)""")
+def insider_collector_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told(_insiders(spark, sf_dir))
