@@ -167,3 +167,13 @@ def linked(confirmed: DataFrame, activations: DataFrame) -> DataFrame:
     latest = F.row_number().over(Window.partitionBy("visitor", "_before").orderBy(F.desc("ts"), F.desc("email"))) == 1
     moved = F.col("_before") & latest & (F.col("place") == "unlinked")
     return met.select(*(F.when(moved, "linked").otherwise(F.col("place")).alias("place") if c == "place" else F.col(c) for c in confirmed.columns))
+
+
+def refresh_due(issuers: DataFrame, states: DataFrame, interval_seconds: int, now: Column) -> DataFrame:
+    """(collector, seconds) until the first issuer of each collector is due: issuers (collector, issuer), states (collector, issuer, last_checked_at).
+
+    An issuer that was never checked is due now, another interval_seconds after its last check. Issuers that repeat count once.
+    """
+    met = issuers.select("collector", "issuer").distinct().join(states.groupBy("collector", "issuer").agg(F.max("last_checked_at").alias("last")), ["collector", "issuer"], "left")
+    left = F.lit(interval_seconds * 1_000_000) - F.timestamp_diff("MICROSECOND", F.col("last"), now)
+    return met.groupBy("collector").agg(F.min(F.when(F.col("last").isNull(), F.lit(0.0)).otherwise(F.greatest(left / 1e6, F.lit(0.0)))).alias("seconds"))

@@ -198,7 +198,7 @@ def news_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("issuer", F.col("ordinal").cast("long").alias("ordinal"), "title", "url", "domain", _utc("ts"))
 
 
-@query(r"""with grams as (select source as file, doc_id as line, (doc_id % 300)::varchar as document, ' ' || trim(regexp_replace(replace(lower(left(text, 60)), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' ' as body from documents where doc_id % 10 > 0),
+@query(r"""with grams as (select source as file, doc_id as line, (doc_id % 300)::varchar as document, ' ' || trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' ' as body from documents where doc_id % 10 > 0 and strlen((doc_id % 300)::varchar) + strlen(text) + 3 <= 64000),
     named as (select distinct file, line, document, issuer from grams, (values ('alpha', 'the'), ('beta', 'de'), ('gamma', 'der')) as r(issuer, alias) where contains(body, ' ' || alias || ' ')),
     found as (select file, issuer, document, min(line) as first, count(*) as matches from named group by all),
     candidates as (select * from found qualify row_number() over (partition by file, issuer order by first) <= 200),
@@ -208,10 +208,10 @@ def news_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     select file, issuer, count(*) as candidates, sum(matches)::bigint as matches, coalesce(any_value(ingested), 0) as ingested, coalesce(any_value(overflow), 0) as overflow, coalesce(any_value(ingested + overflow), 0) as accepted
     from candidates left join kept using (file, issuer) group by all""")
 def ngram_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each source: tab-separated lines, every tenth of another form, and contents as lines of JSON, some of them broken."""
+    """A file for each source: tab-separated lines, a whole text each, those over MOST_LINE_BYTES and every tenth of another form, and contents as lines of JSON, some of them broken."""
     docs, n = table(spark, sf_dir, "documents"), F.col("doc_id")
     ident = (n % 300).cast("string")
-    gram = F.regexp_replace(F.left("text", F.lit(60)), r"[\t\n\r]", " ")
+    gram = F.regexp_replace("text", r"[\t\n\r]", " ")
     line = F.when(n % 20 == 0, F.concat(ident, F.lit("\t"), gram)).when(n % 20 == 10, F.concat(F.lit("x"), ident, F.lit("\t"), gram, F.lit("\t1"))).otherwise(F.concat(ident, F.lit("\t"), gram, F.lit("\t3")))
     grams = feeds.ngram_lines(docs.select(line.alias("value"), F.col("source").alias("file"), n.alias("line")))
     first = docs.groupBy(F.col("source").alias("file"), ident.alias("ID")).agg(F.min("doc_id").alias("line"))
