@@ -86,7 +86,9 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
                 at = upto
 
     rows = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))))
-    return rows.mapInArrow(run, COUNTED).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    # dealt by language and term, so that what follows by source, and by language alone, needs no other shuffle
+    dealt = rows.mapInArrow(run, COUNTED).repartition("lang", "term")
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
 
 
 def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -137,14 +139,13 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     All groups of a language meet in a block, whose terms are so few that groups times terms stay within BLOCK_CELLS; a language's block
     gives one value for each pair of its groups, which the result has too.
     """
-    counts = cut(term_counts(docs, text, lang, source))
-    kept = counts.groupBy("lang", "term").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= LEAST_DOCUMENTS)
+    counts = term_counts(docs, text, lang, source).withColumn("held", F.sum("documents").over(Window.partitionBy("lang", "term")))
+    cells = cut(counts.where(F.col("held") >= LEAST_DOCUMENTS).select("lang", "source", "term", "n"))
     found = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source")).distinct()
-    cells = counts.join(kept.select("lang", "term"), ["lang", "term"])
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     numbered = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     groups = cut(found.join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), numbered.alias("number")))
-    terms = kept.groupBy("lang").agg(F.count("*").alias("terms"))
+    terms = cells.groupBy("lang").agg(F.countDistinct("term").alias("terms"))
     langs = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.count("*").alias("sources")).join(terms, "lang", "left")
     # ceil(terms / terms that fit a block), 1 for a language without terms, which still has pairs
     room = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_CELLS) / (F.col("sources") + 1)))
