@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.operators import collectors, evidence, graph, resolve, score
+from ferrule.operators import collectors, evidence, graph, registry_rules, resolve, score
 from ferrule.plans.inputs import AS_OF, as_of, table
 from ferrule.plans.registry import query
 from ferrule.plans.text_queries import ENTITY_SQL, RULES_SQL, _rules, _texts
@@ -75,3 +75,26 @@ def quiet_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     scored = scored.withColumns({"direction": score.direction_of(F.col("score")), "confidence": F.lit(0.5), "coverage": F.lit(0.9)})
     return score.with_quiet_requests(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id")), scored).select("request_id", "score", "direction", "confidence", "coverage", "families", "items")
+
+
+@query("""with rows as (select s_nationkey as registry_id, s_suppkey as k, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as i from supplier), told as (
+        select registry_id, '$.issuers[' || i || '].issuer_key' as path, 'form' as rule from rows where k % 5 = 1
+        union all select registry_id, '$.issuers[' || i || '].tickers[0]', 'form' from rows where k % 5 = 2 and k % 7 <> 3
+        union all select registry_id, '$.issuers[' || i || '].x', 'unknown' from rows where k % 5 = 3
+        union all select registry_id, '$.issuers[' || i || '].reviewed_on', 'missing' from rows where k % 5 = 4
+        union all select registry_id, '$.issuers[' || i || '].tickers[0]', 'shared' from rows where k % 7 = 3 qualify row_number() over (partition by registry_id order by i) = 2)
+    select registry_id::varchar as registry_id, path, rule from told""")
+def registry_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nation's suppliers are a registry; their keys, tickers and fields have faults in turn, and some share a ticker."""
+    k = F.col("s_suppkey")
+    text = lambda *parts: F.to_json(F.array(F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))))
+    only = lambda x: F.regexp_extract(x, r"^\[(.*)\]$", 1)
+    cik = F.when(k % 5 == 1, k.cast("string")).otherwise(F.lpad(k.cast("string"), 10, "0"))
+    ticker = F.when(k % 7 == 3, "SHARED").otherwise(F.concat(F.when(k % 5 == 2, "t").otherwise("T"), k))
+    fields = F.concat(
+        F.lit('{"issuer_key": '), only(text("CIK", cik)), F.lit(', "issuer_name": '), only(text(F.col("s_name"))), F.lit(', "tickers": '), text(ticker), F.lit(', "discovery_aliases": '), text(F.col("s_name"), " corp"),
+        F.lit(', "social_aliases": [], "issuer_feed": null'), F.when(k % 5 == 3, ', "x": 1').otherwise(""), F.when(k % 5 == 4, "").otherwise(', "reviewed_on": "2026-01-01"'), F.lit("}"),
+    )
+    held = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("registry_id")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", fields.alias("j")))).alias("e"))
+    payload = F.concat(F.lit('{"version": 1, "issuers": ['), F.array_join(F.transform("e", lambda e: e["j"]), ", "), F.lit("]}"))
+    return registry_rules.load_registry(held.select("registry_id", payload.alias("payload"))).errors
