@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,9 +12,19 @@ RESTRICTED = r"(?i)\b(buy|sell|guaranteed|alpha|expected[ -]return|should purcha
 SECRET_VALUE = r"(?i)\b(api[_-]?key|token|authorization|password|cookie)\s*[=:]\s*\S+"
 
 
+@cache
+def _folding() -> dict[str, str]:
+    """What case folding makes of characters that lower case leaves alone, sharp s apart."""
+    return {c: f for c in map(chr, range(0x80, 0x110000)) if c != "ß" and c == c.lower() and (f := c.casefold()) != c}
+
+
 def fold(text: Column) -> Column:
-    """Lower case, with sharp s as two letters, as case folding has it."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, sharp s as two letters, and where a text has one of the few other characters that fold to something else, each of these by itself."""
+    lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    table = _folding()
+    known = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    each = F.transform(F.split(lowered, ""), lambda c: F.coalesce(F.try_element_at(known, c), c))
+    return F.when(lowered.rlike("[" + "".join(table) + "]"), F.array_join(each, "")).otherwise(lowered)
 
 
 def normalize_title(text: Column) -> Column:

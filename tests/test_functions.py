@@ -73,3 +73,15 @@ def test_token_set_ratio():
         assert text._common_subsequence(x, y) == plain_subsequence(x, y)
     assert text.token_set_ratio("a b", "b a c") == 100 and text.token_set_ratio("", "a") == 0 and text.token_set_ratio("ab", "cd") == 0
     assert text.token_set_ratio("acme wins large order", "acme wins large orders") > 92
+
+
+def test_folding_is_that_of_every_code_point(spark):
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c, f"a{chr(c)}b") for c in points], "c long, t string").repartition(8)
+    import unicodedata
+
+    wrong = [r.c for r in rows.select("c", text.fold(F.col("t")).alias("f")).where("f is not null").collect() if r.f != f"a{chr(r.c)}b".casefold() and unicodedata.category(chr(r.c)) != "Cn"]
+    assert wrong == []
+    words = ["ΟΔΟΣ ΣΑΣ", "Straße GROẞ", "İstanbul ﬁne ŉ", "ᏣᎳᎩ", "", None]
+    found = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.fold(F.col("w")).alias("f")).collect()
+    assert [r.f for r in found] == [w and w.casefold() for w in words]
