@@ -18,13 +18,26 @@ def _folding() -> dict[str, str]:
     return {c: f for c in map(chr, range(0x80, 0x110000)) if c != "ß" and c == c.lower() and (f := c.casefold()) != c}
 
 
+@cache
+def _folded_apart() -> str:
+    """A pattern of the characters of _folding(), as ranges, of which a character is tried against few."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, _folding())):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
 def fold(text: Column) -> Column:
     """Full case folding: lower case, sharp s as two letters, and where a text has one of the few other characters that fold to something else, each of these by itself."""
     lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     table = _folding()
     known = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
     each = F.transform(F.split(lowered, ""), lambda c: F.coalesce(F.try_element_at(known, c), c))
-    return F.when(lowered.rlike("[" + "".join(table) + "]"), F.array_join(each, "")).otherwise(lowered)
+    # nearly all texts are known by their first test not to have any
+    return F.when(text.rlike(r"[\u00B5\u0130-\x{10FFFF}]") & lowered.rlike(_folded_apart()), F.array_join(each, "")).otherwise(lowered)
 
 
 def normalize_title(text: Column) -> Column:
@@ -57,11 +70,12 @@ def first_filled(*values: Column) -> Column:
     return F.coalesce(*(F.nullif(v, F.lit("")) for v in values))
 
 
-def token_set_ratio(left: str, right: str) -> float:
-    """Similarity from 0 to 100 of two normalised titles as sets of words.
+def token_set_ratio(left: str, right: str, least: float = 0.0) -> float:
+    """Similarity from 0 to 100 of two normalised titles as sets of words; one below least may come out lower.
 
     100 if one set holds the other and they meet. Else the best of three ratios: of the words in common with either side's
-    common and other words, and of these two; a ratio is twice the longest common subsequence over both lengths.
+    common and other words, and of these two; a ratio is twice the longest common subsequence over both lengths. What two
+    texts begin with alike is part of it, so only the other words are compared letter by letter, and no longer than least may still be reached.
     """
     a, b = set(left.split()), set(right.split())
     if not a or not b:
@@ -70,18 +84,24 @@ def token_set_ratio(left: str, right: str) -> float:
     if common and (common == a or common == b):
         return 100.0
     base, one, two = (" ".join(sorted(x)) for x in (common, a - common, b - common))
-    first, second = (f"{base} {one}".strip(), f"{base} {two}".strip())
-    pairs = [(first, second)] + ([(base, first), (base, second)] if base else [])
-    return max(200.0 * _common_subsequence(x, y) / (len(x) + len(y)) for x, y in pairs)
+    shared = len(base) + 1 if base else 0
+    first, second = shared + len(one), shared + len(two)
+    best = max(200.0 * len(base) / (len(base) + n) for n in (first, second))
+    needed = int(least * (first + second) / 200.0) - shared
+    if min(len(one), len(two)) < needed:
+        return best
+    return max(best, 200.0 * (shared + _common_subsequence(one, two, needed)) / (first + second))
 
 
-def _common_subsequence(x: str, y: str) -> int:
-    """Length of the longest common subsequence, a bit for each character of x (Hyyrö, 2004)."""
+def _common_subsequence(x: str, y: str, needed: int = 0) -> int:
+    """Length of the longest common subsequence, a bit for each character of x (Hyyrö, 2004); less once needed can't be reached."""
     places: dict[str, int] = {}
     for i, c in enumerate(x):
         places[c] = places.get(c, 0) | 1 << i
     rows, mask = (1 << len(x)) - 1, (1 << len(x)) - 1
-    for c in y:
+    for i, c in enumerate(y):
+        if i % 64 == 63 and len(x) - rows.bit_count() + len(y) - i < needed:
+            break
         met = rows & places.get(c, 0)
         rows = (rows + met | rows - met) & mask
     return len(x) - rows.bit_count()

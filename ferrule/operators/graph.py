@@ -103,7 +103,7 @@ def fold_events(rows, events=None):
 
 def nearest(row: dict, events: list[dict]) -> dict | None:
     """The event within NEAR_HOURS with the most similar title, at NEAR_RATIO or more; the smallest id among equals."""
-    rated = [(token_set_ratio(row["normal_title"], e["normal_title"]), -e["event_id"], e) for e in events if abs((e["published_at"] - row["published_at"]).total_seconds()) <= NEAR_HOURS * 3600]
+    rated = [(token_set_ratio(row["normal_title"], e["normal_title"], NEAR_RATIO), -e["event_id"], e) for e in events if abs((e["published_at"] - row["published_at"]).total_seconds()) <= NEAR_HOURS * 3600]
     ratio, _, event = max(rated, key=lambda x: x[:2], default=(0.0, 0, None))
     return event if ratio >= NEAR_RATIO else None
 

@@ -35,7 +35,7 @@ class Wording:
         return Wording(re.sub(NUMBER, "", title), tuple(re.findall(NUMBER, title)), re.search(CORRECTION, title) is not None)
 
     def corrects(self, old: Wording) -> bool:
-        return self.announced or (self.numbers != old.numbers and token_set_ratio(self.words, old.words) >= NEAR_RATIO)
+        return self.announced or (self.numbers != old.numbers and token_set_ratio(self.words, old.words, NEAR_RATIO) >= NEAR_RATIO)
 
 
 def _words(title: str) -> Column:
@@ -70,7 +70,7 @@ def similar(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for a, b, one, two in zip(batch["a"], batch["b"], batch["a_title"], batch["b_title"]):
-                if (ratio := token_set_ratio(one, two)) >= NEAR_RATIO:
+                if (ratio := token_set_ratio(one, two, NEAR_RATIO)) >= NEAR_RATIO:
                     found.append((a, b, ratio, Wording.of(two).corrects(Wording.of(one)), Wording.of(one).corrects(Wording.of(two))))
             yield pd.DataFrame(found, columns=["a", "b", "ratio", "b_corrects", "a_corrects"])
 
