@@ -161,3 +161,23 @@ def test_additions(spark, tmp_path):
     (tmp_path / "t" / "added-4").mkdir()
     store.append_new(spark.createDataFrame([(4,), (5,)], "id long"), path, "id", 4)
     assert sorted(r.id for r in store.read(spark, path).collect()) == [1, 2, 3, 4, 5] and store.compact(spark, str(tmp_path / "none")) is None
+
+
+def test_a_notice_is_parsed_once_and_a_broken_one_has_no_facts(spark):
+    xml = "<n:doc xmlns:n='urn:x'><n:issuerName> A <b>B</b></n:issuerName><issuerName>C</issuerName><filerName/><sellerName>S</sellerName></n:doc>"
+    docs = spark.createDataFrame([("good", xml), ("broken", "<doc><issuerName>A</doc>"), ("typed", "<!DOCTYPE d>" + xml), ("none", None)], "url string, xml string")
+    found = filings.proposed_sales(docs)
+    assert {(r.url, r.issuer, r.seller, r.units) for r in found.collect()} == {("good", "A B", "S", None), *((n, None, None, None) for n in ("broken", "typed", "none"))}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<lambda>(") == 1 and "xpath" not in plan
+
+
+def test_instants_of_all_forms(spark):
+    day = datetime(2026, 7, 1)
+    known = {
+        "2026-07-01T10:20:30Z": (10, 20, 30), "2026-07-01t10:20:30.5z": (10, 20, 30, 500000), "2026-07-01T10:20:30.500Z": (10, 20, 30, 500000), "2026-07-01T10:20:30+02:00": (8, 20, 30), "2026-07-01T10:20:30": (10, 20, 30), "2026-07-01 10:20:30": (10, 20, 30),
+        " 2026-07-01 ": (), "20260701T102030Z": (10, 20, 30), "20260701T102030+0200": (8, 20, 30), "20260701102030": (10, 20, 30), "Wed, 01 Jul 2026 10:20:30 GMT": (10, 20, 30), "1 Jul 2026 10:20:30 +0100": (9, 20, 30), "1782864000": (), "1782864000000": (), "junk": None, "": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in known], "t string").select("t", filings.instant(F.col("t")).alias("ts")).collect()
+    want = {t: None if at is None else day.replace(hour=(at + (0,))[0], minute=(at + (0, 0))[1], second=(at + (0, 0, 0))[2], microsecond=(at + (0, 0, 0, 0))[3]) for t, at in known.items()}
+    assert {r.t: r.ts for r in rows} == want
