@@ -172,6 +172,15 @@ def test_a_notice_is_parsed_once_and_a_broken_one_has_no_facts(spark):
     assert plan.count("<lambda>(") == 1 and "xpath" not in plan
 
 
+def test_zero_premium_and_price_are_told(spark):
+    options = [{"symbol": "ab", "premium": p, "total_premium": t, "date": "2026-07-01"} for p, t in ((0.0, None), (0, "7"), (None, None), (None, "0"), ("x", 0))]
+    rows = feeds.option_trades(spark.createDataFrame([("AB", json.dumps(options))], "issuer string, payload string"))
+    assert [r.premium for r in rows.orderBy("ordinal").collect()] == [0.0, 7.0, None, 0.0, 0.0]
+    trades = [{"price": p, "shares": 1, "date": "2026-07-01"} for p in (0.0, "0", None, "", 2)]
+    rows = feeds.vendor_trades(spark.createDataFrame([("AB", json.dumps(trades))], "issuer string, payload string"))
+    assert [r.price for r in rows.orderBy("ordinal").collect()] == [0.0, 0.0, None, None, 2.0]
+
+
 def test_instants_of_all_forms(spark):
     day = datetime(2026, 7, 1)
     known = {
