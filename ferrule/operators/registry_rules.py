@@ -128,20 +128,20 @@ def _repeated(rows: DataFrame, by: list[str], rule: str, owner: str | None = Non
     return later.where("_n = 2").select("registry_id", "path", F.lit(rule).alias("rule"))
 
 
-def load_registry(payloads: DataFrame) -> Registry:
-    """payloads: registry_id, payload, the JSON text of a registry of version 1 or 2, of MOST_BYTES at most.
+def load_registry(payloads: DataFrame, most_bytes: int = MOST_BYTES, most_issuers: int = MOST_ISSUERS) -> Registry:
+    """payloads: registry_id, payload, the JSON text of a registry of version 1 or 2, of most_bytes and most_issuers at most.
 
     errors has every failure: of the document (too_large, invalid_json, not_object), of keys (missing, unknown), of values (not_text, not_list, entries, control_characters, quotes, length, form, value, url, host,
     reversed, overlap, canonical, owner), and of uniqueness (duplicate, shared). Paths are like $.issuers[0].tickers. A null payload is invalid_json. Bounds
     keep every document small, so its lists are exploded whole; uniqueness is by document.
     """
-    whole = payloads.select("registry_id", F.when(F.octet_length("payload") <= MOST_BYTES, F.try_parse_json("payload")).alias("root"), (F.octet_length("payload") > MOST_BYTES).alias("_large"), F.lit("$").alias("path"))
+    whole = payloads.select("registry_id", F.when(F.octet_length("payload") <= most_bytes, F.try_parse_json("payload")).alias("root"), (F.octet_length("payload") > most_bytes).alias("_large"), F.lit("$").alias("path"))
     root, path = F.col("root"), F.col("path")
     broken = whole.select("registry_id", "path", F.when(F.col("_large"), "too_large").when(root.isNull(), "invalid_json").alias("rule")).where("rule is not null")
     documents = whole.where("root is not null").drop("_large")
     version = F.when(kind_of(root, "version") == "BIGINT", at(root, "version", "bigint"))
     documents = documents.withColumn("version", version)
-    issuers, issuer_list = _entries(documents, "root", "issuers", "issuer", MOST_ISSUERS, 1)
+    issuers, issuer_list = _entries(documents, "root", "issuers", "issuer", most_issuers, 1)
     funds, fund_list = _entries(documents, "root", "funds", "fund", MOST_FUNDS)
     domains, domain_list = _entries(documents, "root", "publisher_domains", "domain", MOST_DOMAINS)
     wrong_version = F.when(kind_of(root, "version").isNotNull() & ~F.coalesce(version.isin(1, 2), F.lit(False)), _error(F.lit("$.version"), "value"))

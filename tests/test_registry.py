@@ -88,3 +88,11 @@ def test_what_a_good_registry_holds(loaded):
     (rule,) = loaded.rules.collect()
     assert (rule.rule_id, rule.required, rule.negative, rule.valid_to) == ("acme_name", ["orders"], ["anvil"], "2030-01-01")
     assert [r.series_id for r in loaded.funds.collect()] == ["S000000001"]
+
+
+def test_a_registry_may_have_its_own_bounds(spark):
+    issuers = [{**GOOD["issuers"][1], "issuer_key": f"CIK{i:010}", "tickers": [f"Z{i}" if i < 239 else "zz"], "social_aliases": [f"Zed {i} Holdings"]} for i in range(240)]
+    payload = spark.createDataFrame([("r", json.dumps({"version": 1, "issuers": [{**{k: v for k, v in i.items() if k != "discovery_rules"}, "discovery_aliases": []} for i in issuers]}))], "registry_id string, payload string")
+    told = lambda *bounds: {(r.path, r.rule) for r in reg.load_registry(payload, *bounds).errors.collect()}
+    assert told() == {("$.issuers", "entries")}
+    assert told(2**31 - 1, 2**31 - 1) == {("$.issuers[239].tickers[0]", "form")}
