@@ -21,3 +21,20 @@ def test_aligned_titles(spark):
     ]
     found = resolve.aligned_titles(spark.createDataFrame(titles, "text_id long, title string, day string"), spark.createDataFrame(rules, SCHEMA), spark.createDataFrame(tickers, "issuer string, ticker string"))
     assert sorted(map(tuple, found.collect())) == [(0, "acme"), (3, "acme"), (5, "zed"), (6, "zed"), (8, "acme")]
+
+
+def test_only_words_that_begin_an_alias_become_rows(spark):
+    texts = spark.createDataFrame([(1, "Big bad Wolf of the North"), (2, "wolfram"), (3, None), (4, ""), (5, "bad wolf")], "text_id long, text string")
+    rules = spark.createDataFrame([("a", "w", "bad wolf", None, None, None, None), ("b", "n", "Wolf of the north", None, None, None, None)], SCHEMA)
+    found = resolve.match_rules(texts, rules)
+    assert {(r.text_id, r.rule_id) for r in found.collect()} == {(1, "w"), (1, "n"), (5, "w")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan and "array_distinct" not in plan
+
+
+def test_many_aliases_match_as_few_do(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "Big bad Wolf of the North"), (2, "wolfram"), (3, None)], "text_id long, text string")
+    rules = spark.createDataFrame([("a", "w", "bad wolf", None, None, None, None), ("b", "n", "Wolf of the north", None, None, None, None)], SCHEMA)
+    few = sorted(map(str, resolve.match_rules(texts, rules).select("text_id", "rule_id", "body").collect()))
+    monkeypatch.setattr(resolve, "FEW_HEADS", 1)
+    assert few == sorted(map(str, resolve.match_rules(texts, rules).select("text_id", "rule_id", "body").collect())) and len(few) == 2
