@@ -77,15 +77,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, copies: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, copies: str, total: int | None = None) -> DataFrame:
     """Inner join of rows with groups, which has one row for each non-null key and, in the column copies,
     the number of rows that carry it. No task gets all rows of a hot key.
 
     Groups of over 1/HOT_SHARE of all rows are fewer than HOT_SHARE whatever the data, so they are
     broadcast and their rows stay where they are. The others are joined by a shuffle, in which no key
-    has more than that share.
+    has more than that share. total: all rows, where groups leaves some out, as rows of small groups are else taken for hot.
     """
-    total = groups.agg(F.sum(copies).alias("n")).first()["n"] or 0
+    total = total if total is not None else groups.agg(F.sum(copies).alias("n")).first()["n"] or 0
     is_hot = F.col(copies) * HOT_SHARE > F.lit(total)
     hot = F.broadcast(groups.where(is_hot))
     cold = rows.join(F.broadcast(groups.where(is_hot).select(key)), key, "left_anti")

@@ -62,7 +62,7 @@ def met(entries: DataFrame) -> DataFrame:
     bits = F.get(F.array(*(F.lit(x).cast("long") for x in COVERED)), F.col("shared"))
     entries = cut(entries.withColumn("posting", F.struct("shared", F.col("fp").bitwiseAND(bits).alias("bytes"))))
     lengths = cut(entries.groupBy("posting").agg(F.count("*").alias("length")).where("length > 1"))
-    return cut(join_groups(entries, lengths, "posting", "length"))
+    return cut(join_groups(entries, lengths, "posting", "length", entries.count()))
 
 
 def one_more(entries: DataFrame) -> DataFrame:

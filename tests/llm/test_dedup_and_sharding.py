@@ -154,3 +154,20 @@ def test_numbered(spark):
     for r in sorted(rows, key=lambda r: (r["size"], r["id"])):
         groups[r["size"]].append(r["rank"])
     assert all(v == list(range(len(v))) for v in groups.values()) and len(rows) == 2000
+
+
+def test_a_small_posting_among_many_is_not_hot(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ferrule.llm import common
+
+    asked = []
+    monkeypatch.setattr(simhash, "join_groups", lambda *a: asked.append(a) or common.join_groups(*a))
+    n = F.col("id")
+    low = F.when(n < 20, n * 2**32).when(n < 8020, F.floor(n / 2) + 100 + n % 2 * 2**32).otherwise(n + 100_000)
+    entries = spark.range(30_000).select(n.alias("node"), low.cast("long").alias("fp"), F.lit(15).alias("shared"))
+    assert simhash.met(entries).count() == 8020
+    found = common.join_groups(*asked[0])
+    found.collect()
+    ran = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "LeftAnti" not in ran
