@@ -33,8 +33,9 @@ def observations(rows: DataFrame) -> DataFrame:
 
     arrival is a total order. One article of two issuers is one observation, that of the first arrival, and two events.
     """
-    found = rows.withColumn("canonical_url", canonical_url(F.col("url"))).withColumn("normal_title", normalize_title(F.col("title")))
-    found = found.where("canonical_url is not null and normal_title <> ''")
+    # as a generator's output both are computed once; a condition on columns would move below them, with a second copy of their work
+    both = F.array(F.struct(canonical_url(F.col("url")).alias("canonical_url"), normalize_title(F.col("title")).alias("normal_title")))
+    found = rows.select("*", F.inline_outer(both)).where("canonical_url is not null and normal_title <> ''")
     return found.withColumn("observation_key", hash_key("source_id", "record_id", "canonical_url", "normal_title")).withColumn("event_key", hash_key("issuer", "normal_title", "canonical_url"))
 
 

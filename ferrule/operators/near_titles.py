@@ -19,6 +19,8 @@ NEAR_HOURS, NEAR_RATIO = 48, 92.0
 CORRECTION, NUMBER = r"\b(correction|corrected|revision|revised|update|updated)\b", r"\b\d+(?:[.,]\d+)*%?\b"
 #: The longest piece of a word, and the most frequent grams whose counts are known when pieces are chosen.
 PIECE, FREQUENT = 3, 10_000
+#: Titles of an issuer's two spans in a row that are few enough to be compared with each other, as each alone has more grams than that.
+FEW_TITLES = 100
 
 
 @dataclass(frozen=True)
@@ -77,10 +79,33 @@ def similar(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "a_title", "b_title").mapInPandas(run, "a string, b string, ratio double, b_corrects boolean, a_corrects boolean")
 
 
-def title_pairs(titles: DataFrame) -> DataFrame:
+def title_pairs(titles: DataFrame, few: int = FEW_TITLES) -> DataFrame:
     """(a, b, ratio, corrects) both ways of different titles of an issuer that come within two spans of time and are alike; corrects: b, coming after a, opens a version.
 
-    titles: issuer, key (of issuer and title), title, span; distinct. No pair is lost. With words sorted, a ratio of NEAR_RATIO leaves no more
+    titles: issuer, key (of issuer and title), title, span; distinct. No pair is lost. Where a span and the next have few titles, all these are compared; titles of
+    fuller spans meet by what they have in common, see _sharing().
+    """
+    titles = durable(titles)
+    counts = titles.groupBy("issuer", "span").agg(F.count("*").alias("n"))
+    after = counts.select("issuer", (F.col("span") - 1).alias("span"), F.col("n").alias("more"))
+    blocks = durable(counts.join(after, ["issuer", "span"], "left").select("issuer", "span", (F.col("n") + F.coalesce("more", F.lit(0)) > few).alias("full")))
+    first = titles.join(blocks.where("not full"), ["issuer", "span"]).select("issuer", "span", F.col("key").alias("a"), F.col("title").alias("a_title"))
+    again = F.explode(F.array(F.struct("span", F.lit(False).alias("later")), F.struct((F.col("span") - 1).alias("span"), F.lit(True).alias("later"))))
+    second = titles.select("issuer", F.col("key").alias("b"), F.col("title").alias("b_title"), again.alias("s")).select("issuer", "s.*", "b", "b_title")
+    found = similar(first.join(second, ["issuer", "span"]).where("a < b or (later and a <> b)"))
+    full = blocks.where("full").select("issuer", F.explode(F.array(F.col("span"), F.col("span") + 1)).alias("span")).distinct()
+    if not full.isEmpty():
+        found = found.unionByName(similar(_sharing(titles.join(full, ["issuer", "span"], "left_semi"))))
+    found = durable(found)
+    back = found.select(F.col("b").alias("a"), F.col("a").alias("b"), "ratio", F.col("a_corrects").alias("b_corrects"), F.col("b_corrects").alias("a_corrects"))
+    # titles that meet in several spans are told once
+    return found.unionByName(back).select("a", "b", "ratio", F.col("b_corrects").alias("corrects")).distinct()
+
+
+def _sharing(titles: DataFrame) -> DataFrame:
+    """(a, b, a_title, b_title), each pair once, of titles within two spans of time that may be alike, without comparing all with all.
+
+    With words sorted, a ratio of NEAR_RATIO leaves no more
     than a share of 1 - NEAR_RATIO / 100 of both titles' characters to delete and insert, 2 * (1 - NEAR_RATIO / 100) of the longer one's. Each of these damages one piece
     of the longer title at most, so of one piece more, any, at least one stands whole within a word of the other title. The rarest pieces of each title thus ask for
     titles that have them among their grams. A title that holds another, or nearly, as a set of words has all or nearly all of that one's pieces.
@@ -100,9 +125,7 @@ def title_pairs(titles: DataFrame) -> DataFrame:
     held = grams.join(spans, "key").select("issuer", F.col("key").alias("b"), "gram", "span")
     met = asking.join(held, ["issuer", "span", "gram"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     name = lambda side: distinct.select(F.col("key").alias(side), F.col("title").alias(f"{side}_title"))
-    found = durable(similar(met.join(name("a"), "a").join(name("b"), "b")))
-    back = found.select(F.col("b").alias("a"), F.col("a").alias("b"), "ratio", F.col("a_corrects").alias("corrects"))
-    return found.select("a", "b", "ratio", F.col("b_corrects").alias("corrects")).unionByName(back)
+    return met.join(name("a"), "a").join(name("b"), "b")
 
 
 def announced(title: str) -> Column:

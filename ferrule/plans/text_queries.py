@@ -45,7 +45,7 @@ def _rules(spark: SparkSession) -> DataFrame:
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")), "yyyy-MM-dd")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), day.alias("day"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text", F.substring_index("text", "\n", 1).alias("title"), day.alias("day"))
 
 
 MATCH_SQL = f"""
@@ -171,13 +171,13 @@ def _observations(spark: SparkSession, sf_dir: str, title: Column) -> DataFrame:
     from linked join first using (observation_key) group by all""")
 def exact_event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A title is the whole first line."""
-    return graph.exact_events(graph.observations(_observations(spark, sf_dir, F.split_part("text", F.lit("\n"), F.lit(1)))))
+    return graph.exact_events(graph.observations(_observations(spark, sf_dir, F.substring_index("text", "\n", 1))))
 
 
 @query()
 def fuzzy_event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A title is the whole first line."""
-    return graph.near_events(graph.observations(_observations(spark, sf_dir, F.split_part("text", F.lit("\n"), F.lit(1)))))
+    return graph.near_events(graph.observations(_observations(spark, sf_dir, F.substring_index("text", "\n", 1))))
 
 
 @query("""select conv_id, turn, (row_number() over c - 1) // 2 + 1 as page, case when row_number() over c % 2 = 0 and row_number() over c < count(*) over (partition by conv_id) then turn end as next_cursor

@@ -125,3 +125,16 @@ def test_titles_far_apart_do_not_meet(spark):
     table = spark.createDataFrame([("X", "a", "one two", 0), ("X", "b", "one two three", 2), ("Y", "c", "one two", 0)], "issuer string, key string, title string, span long")
     assert near_titles.title_pairs(table).count() == 0
     assert near_titles.title_pairs(table.withColumn("span", F.lit(1).cast("long"))).count() == 2
+
+
+def test_few_titles_of_a_span_are_compared_without_grams(spark, monkeypatch):
+    """As by what they share, and without a row for each run of characters of each title."""
+    rnd = random.Random(5)
+    rows = [(i % 2, f"k{i}", f"{rnd.choice(('acme', 'widget'))} opens plant number {i % 3} in the north of town", rnd.randrange(6)) for i in range(60)]
+    table = spark.createDataFrame(rows, "issuer long, key string, title string, span long")
+    every = {tuple(r) for r in near_titles.title_pairs(table, 0).collect()}
+    some = {tuple(r) for r in near_titles.title_pairs(table, 15).collect()}
+    monkeypatch.setattr(near_titles, "_grams", None)
+    pairs = near_titles.title_pairs(table).collect()
+    assert len(pairs) == len({(r.a, r.b) for r in pairs}) > 0
+    assert {tuple(r) for r in pairs} == every == some
