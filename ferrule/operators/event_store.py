@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.functions.durable import durable
 from ferrule.functions.keys import hash_key, prefixed
 from ferrule.operators.graph import claim_pages, source_rank
 
@@ -29,12 +30,16 @@ class EventTables:
 
 def event_tables(seen: DataFrame) -> EventTables:
     """The tables of observations() grouped by exact keys. An observation is that of its first arrival, an event that of its first observation's;
-    a relation between a claim and a source has the number of its first arrival, so numbers grow as relations come."""
+    a relation between a claim and a source has the number of its first arrival, so numbers grow as relations come. All tables are made from one durable copy of seen,
+    and links once for those that read them, so texts are read and normalised once."""
+    kept = ("issuer", "source_id", "tier", "record_id", "canonical_url", "title", "published_at", "arrival", "observation_key", "event_key")
+    seen = durable(seen.select(*kept))
     first = lambda *names: [F.min_by(n, "arrival").alias(n) for n in names]
     observations = seen.groupBy("observation_key").agg(F.min("arrival").alias("observation_id"), *first("source_id", "tier", "record_id", "canonical_url", "title", "published_at"))
     events = seen.groupBy("event_key", "issuer").agg(F.min("arrival").alias("event_id"), *first("published_at"))
     linked = seen.groupBy("event_key", "issuer", "observation_key").agg(F.min("arrival").alias("relation_id"), F.max(source_rank(F.col("tier"))).alias("rank"))
     linked = linked.join(events.select("event_key", "issuer", "event_id"), ["event_key", "issuer"]).join(observations.select("observation_key", "observation_id"), "observation_key")
+    linked = durable(linked.select("event_id", "observation_id", "observation_key", "relation_id", "rank"))
     claims = missing_claims(events, None)
     sources = linked.join(claims, "event_id").select("relation_id", "claim_id", "observation_id", prefixed("src_", "observation_key").alias("source_reference_id"))
     return EventTables(observations, events, linked.select("event_id", "observation_id", "rank"), claims, sources)

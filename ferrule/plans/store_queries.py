@@ -32,7 +32,7 @@ STORE_SQL = f"""with seen as (
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> event_store.EventTables:
-    return event_store.event_tables(graph.observations(_observations(spark, sf_dir, F.split_part("text", F.lit("\n"), F.lit(1)))))
+    return event_store.event_tables(graph.observations(_observations(spark, sf_dir, F.substring_index("text", "\n", 1))))
 
 
 @query(f"""{STORE_SQL}, numbered as (select *, row_number() over (partition by claim_id order by relation_id) as n, count(*) over (partition by claim_id) as total_sources from links),

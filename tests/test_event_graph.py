@@ -138,3 +138,15 @@ def test_few_titles_of_a_span_are_compared_without_grams(spark, monkeypatch):
     pairs = near_titles.title_pairs(table).collect()
     assert len(pairs) == len({(r.a, r.b) for r in pairs}) > 0
     assert {tuple(r) for r in pairs} == every == some
+
+
+def test_observations_are_made_once_for_all_tables(spark):
+    """No table of the store goes back to what it was made from, and each row's title is normalised once."""
+    from ferrule.operators import event_store
+
+    observed = seen(spark, [("i", f"title {n % 4}", n, n % 3) for n in range(20)])
+    assert observed._jdf.queryExecution().optimizedPlan().toString().count("AS normal_title") <= 1
+    tables = event_store.event_tables(observed)
+    for table in (tables.observations, tables.events, tables.links, tables.claims, tables.claim_sources):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "utm_" not in plan
