@@ -38,3 +38,13 @@ def test_many_aliases_match_as_few_do(spark, monkeypatch):
     few = sorted(map(str, resolve.match_rules(texts, rules).select("text_id", "rule_id", "body").collect()))
     monkeypatch.setattr(resolve, "FEW_HEADS", 1)
     assert few == sorted(map(str, resolve.match_rules(texts, rules).select("text_id", "rule_id", "body").collect())) and len(few) == 2
+
+
+def test_texts_are_normalised_once(spark):
+    """No condition in the plan carries a second copy of what is done to texts."""
+    texts = spark.createDataFrame([(1, "one of the two", "t")], "text_id long, text string, title string")
+    rules = spark.createDataFrame([("i", "r", "of the", ["one"], ["three"], None, None)], "issuer string, rule_id string, alias string, required array<string>, negative array<string>, valid_from string, valid_to string")
+    found = resolve.match_rules(texts, rules)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [x for x in lines if "Filter" in x and "regexp_replace" in x and "alias#" not in x]
+    assert [(r.text_id, r.required_met, r.negative_met) for r in found.collect()] == [(1, ["one"], [])]
