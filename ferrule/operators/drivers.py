@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.functions.durable import durable
 from ferrule.operators import documents
 from ferrule.operators.collectors import filing_context
 from ferrule.operators.signals import insider_clusters
@@ -102,11 +103,12 @@ def collect_filings(asked: DataFrame, funds: DataFrame, known: DataFrame, payloa
         "ticker", "ordinal", "accession", "form", "ts", "url", F.coalesce(adverse, F.col("signal")).alias("signal"), F.when(adverse.isNotNull(), "bearish").otherwise("neutral").alias("direction"),
         "strength", filing_context(F.col("form"), F.col("items")).alias("context"), notes.alias("notes"), base.isin("8-K", "6-K").alias("_current"),
     )
+    rows = durable(rows)
     # only current reports are read; what the others say stands in their form
     current = document_context(rows.where("_current"), landed.join(rows.where("_current").select("url").distinct(), "url", "left_semi"))
     others = rows.where("not _current").select("*", F.lit(None).cast("string").alias("document_status"), F.lit(None).cast("string").alias("rule_id"), F.lit(PARSER_VERSION).alias("parser_version"))
     index = indexes.select("accession", F.when(F.from_json("payload", filings.INDEX)["directory"].isNotNull(), filings.exhibits(F.col("payload"))).alias("_exhibits"))
-    found = current.unionByName(others).join(index, "accession", "left")
+    found = durable(current.unionByName(others).join(index, "accession", "left"))
     evidence = found.select(*(c for c in found.columns if c not in ("_current", "_exhibits")), F.when(F.col("_current"), F.col("_exhibits")).alias("exhibits"))
     unread = found.where("document_status = 'unavailable'").select("ticker", (F.col("ordinal") * 2 + 1).alias("ordinal"), said("SEC ", F.col("accession"), " primary document was unavailable or malformed.").alias("warning"))
     unlisted = found.where("_current and _exhibits is null").select("ticker", (F.col("ordinal") * 2 + 2).alias("ordinal"), said("SEC ", F.col("accession"), " exhibit index was unavailable or malformed.").alias("warning"))
@@ -123,7 +125,7 @@ def planned_ownership(listed: DataFrame, cutoff: Column) -> tuple[DataFrame, Dat
 
     listed: submissions rows. The order is by time, then accession, newest first, whatever the payload's order.
     """
-    tracked = listed.where(F.col("form").isin(*OWNERSHIP_FORMS, *PROPOSED_FORMS) & (F.col("ts") >= cutoff))
+    tracked = durable(listed.where(F.col("form").isin(*OWNERSHIP_FORMS, *PROPOSED_FORMS) & (F.col("ts") >= cutoff)))
     whole = (F.coalesce("accession", F.lit("")) != "") & (F.coalesce("document", F.lit("")) != "")
     newest = Window.partitionBy("cik").orderBy(F.col("ts").desc(), F.col("accession").desc())
     planned = tracked.where(whole)
@@ -158,7 +160,7 @@ def collect_insiders(asked: DataFrame, funds: DataFrame, known: DataFrame, paylo
         "ticker", F.lit("insider_proposed_sale").alias("signal"), F.lit("neutral").alias("direction"), none("double").alias("strength"), none("double").alias("confidence"), F.lit("new_event").alias("novelty"),
         none("int").alias("owners"), none("double").alias("net"), F.lit(1).alias("source_count"), F.col("ts").alias("latest"), "accession",
     )
-    evidence = cluster.unionByName(notice)
+    evidence = durable(cluster.unionByName(notice))
     omitted = bare.join(companies, "cik").select("ticker", F.col("ordinal").cast("int").alias("ordinal"), said("SEC ", F.col("form"), " entry omitted accession or primary document.").alias("warning"))
     most, last = F.lit((1 << 31) - 2), F.lit((1 << 31) - 1)
     cut = over.join(companies, "cik").select("ticker", most.alias("ordinal"), said(f"SEC ownership filings truncated to the {MOST_OWNERSHIP} most recent of ", F.col("planned").cast("string"), " in the lookback window.").alias("warning"))

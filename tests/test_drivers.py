@@ -105,3 +105,13 @@ def test_funds(spark):
     assert {(r.ticker, r.code, r.scope, r.scope_id) for r in found.reasons.collect()} == {
         ("GOOD", "source_unavailable", "candidate", "a-2"), ("BAD", "source_unavailable", "candidate", "a-3"), ("TYPED", "source_unsupported", "evaluation", "TYPED")
     }
+
+
+def test_payloads_and_documents_are_read_once(spark, data):
+    """Statuses, warnings and evidence are told of rows that were read before, not by reading them again."""
+    from ferrule.plans import driver_queries
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for found in (driver_queries._filings(spark, data), driver_queries._insiders(spark, data)):
+        for df in (found.results, found.warnings):
+            assert not [x for x in ("from_json", "jsontostructs", "from_xml", "xmltostructs", "MapInArrow") if x.lower() in plan(df).lower()]
