@@ -190,3 +190,15 @@ def test_instants_of_all_forms(spark):
     rows = spark.createDataFrame([(t,) for t in known], "t string").select("t", filings.instant(F.col("t")).alias("ts")).collect()
     want = {t: None if at is None else day.replace(hour=(at + (0,))[0], minute=(at + (0, 0))[1], second=(at + (0, 0, 0))[2], microsecond=(at + (0, 0, 0, 0))[3]) for t, at in known.items()}
     assert {r.t: r.ts for r in rows} == want
+
+
+def test_ownership_documents_as_the_source_reads_them(spark):
+    """Elements count by their local names, and what doesn't parse as a whole has no trades."""
+    from ferrule.sources import filings
+
+    trade = "<{p}nonDerivativeTransaction><{p}transactionDate><{p}value>2024-01-02</{p}value></{p}transactionDate><{p}transactionCoding><{p}transactionCode>p</{p}transactionCode></{p}transactionCoding></{p}nonDerivativeTransaction>"
+    whole = lambda p: f"<{p}doc{' xmlns:' + p[:-1] + '=' + chr(34) + 'urn:x' + chr(34) if p else ''}><{p}issuer><{p}issuerTradingSymbol> ab </{p}issuerTradingSymbol></{p}issuer><{p}nonDerivativeTable>{trade.format(p=p) * 2}</{p}nonDerivativeTable></{p}doc>"
+    rows = [("plain", whole("")), ("prefixed", whole("n:")), ("junk behind", whole("") + " x"), ("none", None), ("type", "<!DOCTYPE doc>" + whole(""))]
+    found = filings.ownership(spark.createDataFrame(rows, "url string, xml string"))
+    got = sorted((r.url, r.ordinal, r.issuer, r.code, str(r.ts), r.owners, r.planned, r.shares) for r in found.collect())
+    assert got == [(url, n, "AB", "P", "2024-01-02 00:00:00", [], False, None) for url in ("plain", "prefixed") for n in range(2)]
