@@ -13,7 +13,7 @@ from ferrule.operators.collectors import filing_context
 from ferrule.operators.signals import insider_clusters
 from ferrule.sources import filings
 
-#: Ownership forms, notices of proposed sales, most ownership documents of a ticker, and the parser's version.
+#: Ownership forms, notices of proposed sales, most ownership documents of a ticker unless told otherwise, and the parser's version.
 OWNERSHIP_FORMS, PROPOSED_FORMS, MOST_OWNERSHIP, PARSER_VERSION = ("3", "4", "5", "3/A", "4/A", "5/A"), ("144", "144/A"), 30, "sec-events-v1"
 #: The statuses that a request ends with.
 FRESH, NONE, UNSUPPORTED, UNAVAILABLE = "fresh", "no_observations", "unsupported", "unavailable"
@@ -120,31 +120,35 @@ def collect_filings(asked: DataFrame, funds: DataFrame, known: DataFrame, payloa
     return Collected(_results(lanes, evidence), evidence.drop("ordinal"), unread.unionByName(unlisted).unionByName(lost).unionByName(lane).unionByName(quiet), unsupported.unionByName(rejected))
 
 
-def planned_ownership(listed: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Ownership filings to read, the newest MOST_OWNERSHIP of each company; entries without a document; and companies that had more, with how many.
-
-    listed: submissions rows. The order is by time, then accession, newest first, whatever the payload's order.
-    """
+def planned_ownership(listed: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]:
+    """Ownership filings to read, all of each company since the cutoff, and entries without a document. listed: submissions rows."""
     tracked = durable(listed.where(F.col("form").isin(*OWNERSHIP_FORMS, *PROPOSED_FORMS) & (F.col("ts") >= cutoff)))
     whole = (F.coalesce("accession", F.lit("")) != "") & (F.coalesce("document", F.lit("")) != "")
+    return tracked.where(whole).withColumn("url", filings.archive_url(F.col("cik"), F.col("accession"), F.col("document"))), tracked.where(~whole)
+
+
+def newest_ownership(planned: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The newest most filings of each company, and companies that had more, with how many. The order is by time, then accession, newest first, whatever the payload's order."""
     newest = Window.partitionBy("cik").orderBy(F.col("ts").desc(), F.col("accession").desc())
-    planned = tracked.where(whole)
-    kept = planned.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= MOST_OWNERSHIP)
-    over = planned.groupBy("cik").agg(F.count("*").alias("planned")).where(F.col("planned") > MOST_OWNERSHIP)
-    return kept.withColumn("url", filings.archive_url(F.col("cik"), F.col("accession"), F.col("document"))), tracked.where(~whole), over
+    kept = planned.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most)
+    return kept, planned.groupBy("cik").agg(F.count("*").alias("planned")).where(F.col("planned") > most)
 
 
-def collect_insiders(asked: DataFrame, funds: DataFrame, known: DataFrame, payloads: DataFrame, landed: DataFrame, as_of: Column, lookback_days: int) -> Collected:
+def collect_insiders(asked: DataFrame, funds: DataFrame, known: DataFrame, payloads: DataFrame, landed: DataFrame, as_of: Column, lookback_days: int, most: int | None = MOST_OWNERSHIP) -> Collected:
     """Insiders' trades of the asked tickers: one signal of each, and a row for each notice of a proposed sale.
 
     payloads: cik, payload of submissions. landed: url, xml of ownership documents. evidence: ticker, signal, direction, strength, confidence, novelty, owners, net, source_count,
-    latest, accession. Owners of a document count each for themselves. A document that is cut off by MOST_OWNERSHIP, or an entry without one, gives a warning.
+    latest, accession. Owners of a document count each for themselves. most: how many documents of a company are read, the newest; None reads them all. A company with more than most,
+    or an entry without a document, gives a warning.
     """
     cutoff = as_of - F.make_dt_interval(F.lit(lookback_days))
     lanes = identified(asked, funds, known)
     companies = lanes.where("lane = 'company'").select("ticker", "cik")
     listed = filings.submissions(payloads.join(companies.select("cik").distinct(), "cik", "left_semi"))
-    planned, bare, over = planned_ownership(listed, cutoff)
+    planned, bare = planned_ownership(listed, cutoff)
+    over = None
+    if most is not None:
+        planned, over = newest_ownership(planned, most)
     read = planned.join(landed, "url")
     proposed = read.where(F.col("form").isin(*PROPOSED_FORMS)).join(companies, "cik")
     facts = filings.ownership(read.where(F.col("form").isin(*OWNERSHIP_FORMS)).select("url", "xml"))
@@ -162,14 +166,16 @@ def collect_insiders(asked: DataFrame, funds: DataFrame, known: DataFrame, paylo
     )
     evidence = durable(cluster.unionByName(notice))
     omitted = bare.join(companies, "cik").select("ticker", F.col("ordinal").cast("int").alias("ordinal"), said("SEC ", F.col("form"), " entry omitted accession or primary document.").alias("warning"))
-    most, last = F.lit((1 << 31) - 2), F.lit((1 << 31) - 1)
-    cut = over.join(companies, "cik").select("ticker", most.alias("ordinal"), said(f"SEC ownership filings truncated to the {MOST_OWNERSHIP} most recent of ", F.col("planned").cast("string"), " in the lookback window.").alias("warning"))
-    quiet = companies.join(evidence.select("ticker").distinct(), "ticker", "left_anti").select("ticker", last.alias("ordinal"), said("No qualifying direct SEC insider activity found for ", F.col("ticker"), ".").alias("warning"))
+    quiet = companies.join(evidence.select("ticker").distinct(), "ticker", "left_anti").select("ticker", F.lit((1 << 31) - 1).alias("ordinal"), said("No qualifying direct SEC insider activity found for ", F.col("ticker"), ".").alias("warning"))
     lost, rejected = _unresolved(lanes)
     skipped = lanes.where("lane = 'fund'")
     lane = skipped.select("ticker", F.lit(0).alias("ordinal"), said(F.col("ticker"), " is a reviewed fund; corporate-insider semantics were skipped.").alias("warning"))
     unsupported = skipped.select("ticker", *_reason("source_unsupported", "family", F.lit("insider_trading"), "fund_has_no_corporate_insider_semantics"))
-    return Collected(_results(lanes, evidence), evidence, omitted.unionByName(cut).unionByName(quiet).unionByName(lost).unionByName(lane), unsupported.unionByName(rejected))
+    warnings = omitted.unionByName(quiet).unionByName(lost).unionByName(lane)
+    if over is not None:
+        cut = said(f"SEC ownership filings truncated to the {most} most recent of ", F.col("planned").cast("string"), " in the lookback window.")
+        warnings = warnings.unionByName(over.join(companies, "cik").select("ticker", F.lit((1 << 31) - 2).alias("ordinal"), cut.alias("warning")))
+    return Collected(_results(lanes, evidence), evidence, warnings, unsupported.unionByName(rejected))
 
 
 def insider_signals(trades: DataFrame, as_of: Column, lookback_days: int) -> DataFrame:

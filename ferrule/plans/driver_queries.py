@@ -174,7 +174,8 @@ def _insiders(spark: SparkSession, sf_dir: str) -> drivers.Collected:
     xml = _tag("ownershipDocument", _tag("documentType", F.col("form")), owner(F.concat(F.lit("Owner "), F.col("o") % 3)), second, _tag("nonDerivativeTable", F.coalesce("trades", F.lit(""))))
     url = F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), "o_custkey", F.lit("/a"), "o", F.lit("/d"), "o", F.lit(".xml"))
     landed = orders.where("document <> ''").join(held, "o", "left").select(url.alias("url"), xml.alias("xml"))
-    return drivers.collect_insiders(*_asked(spark, sf_dir), _submissions(orders), landed, as_of(ORDERS_AS_OF), INSIDER_LOOKBACK)
+    # as in the SQL, all documents of a company are read
+    return drivers.collect_insiders(*_asked(spark, sf_dir), _submissions(orders), landed, as_of(ORDERS_AS_OF), INSIDER_LOOKBACK, most=None)
 
 
 INSIDERS_SQL = f"""with asked as (select 'C' || c_custkey as ticker, c_custkey as k, case when c_custkey % 10 = 0 then 'fund' when c_custkey % 10 = 1 then 'unresolved' else 'company' end as lane from customer),

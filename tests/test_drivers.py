@@ -3,9 +3,12 @@
 import json
 from datetime import datetime, timedelta
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from ferrule.operators import documents, drivers
+from ferrule.plans import catalogue
 
 NOW = datetime(2026, 7, 12)
 
@@ -89,6 +92,23 @@ def test_thirty_ownership_documents_newest_first(spark):
     assert warnings(found)["A"] == ["SEC ownership filings truncated to the 30 most recent of 35 in the lookback window."]
 
 
+@pytest.mark.parametrize("name", ["insider_collector"])
+def test_all_documents_of_a_company_are_read_by_the_queries(spark, tmp_path, name):
+    """Two companies with more documents than MOST_OWNERSHIP, and their rows by the SQL, which has no bound."""
+    duck = duckdb.connect()
+    tables = {
+        "customer": "select c as c_custkey from range(5) r(c)",
+        "orders": "select o as o_orderkey, 2 + o % 2 as o_custkey, timestamp '2001-07-31' - to_days((o * 4)::int) as o_orderdate from range(160) r(o)",
+        "lineitem": "select o // 2 as l_orderkey, (1 + o)::double as l_quantity, 2::double as l_extendedprice, ['A', 'N', 'R'][1 + o % 3] as l_returnflag, timestamp '2001-07-31' - to_days((o * 2)::int) as l_shipdate from range(320) r(o)",
+    }
+    for t, rows in tables.items():
+        duck.execute(f"create table {t} as {rows}")
+        duck.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    want = duck.execute(catalogue.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r[n] for n in names)) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect())
+
+
 def test_funds(spark):
     schema = "ticker string, identity_status string, cik string, series string, class string"
     identities = spark.createDataFrame([("GOOD", "official_series_class", "1", "S1", "C1"), ("BAD", "official_series_class", "2", "S2", "C2"), ("TYPED", "issuer_only", "3", None, None), ("QUIET", "official_series_class", "4", "S4", "C4")], schema)
