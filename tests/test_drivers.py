@@ -92,7 +92,7 @@ def test_thirty_ownership_documents_newest_first(spark):
     assert warnings(found)["A"] == ["SEC ownership filings truncated to the 30 most recent of 35 in the lookback window."]
 
 
-@pytest.mark.parametrize("name", ["insider_collector"])
+@pytest.mark.parametrize("name", ["insider_collector", "insider_collector_status"])
 def test_all_documents_of_a_company_are_read_by_the_queries(spark, tmp_path, name):
     """Two companies with more documents than MOST_OWNERSHIP, and their rows by the SQL, which has no bound."""
     duck = duckdb.connect()
